@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roisight.llm import oracle
+from roisight.llm._digest import span_digests
 from roisight.llm.decontamination import decontaminate
 from roisight.llm.packing import pack
+from roisight.llm.secrets import scan_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +30,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *span_digests("spans", ["assign", "access", "hex"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op10_packing": op10_packing}
+    return {"op1_decontamination": op1_decontamination, "op7_secrets": op7_secrets, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
