@@ -31,3 +31,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """.replace(' COLLATE "C"', "")
+
+SUBSTRING_DEDUP = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), f AS (
+  SELECT s, min(doc_id) AS first FROM g WHERE doc_id IS NOT NULL GROUP BY s
+), gone AS (
+  SELECT rid, list(DISTINCT p) AS ps
+  FROM (SELECT rid, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (s) WHERE doc_id > first) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w
+         ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p))) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid)
+"""

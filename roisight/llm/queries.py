@@ -12,6 +12,7 @@ from roisight.llm._digest import span_digests
 from roisight.llm.decontamination import decontaminate
 from roisight.llm.packing import pack
 from roisight.llm.secrets import scan_secrets
+from roisight.llm.substring_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,14 +31,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *span_digests("spans", ["assign", "access", "hex"]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op7_secrets": op7_secrets, "op10_packing": op10_packing}
+    return {"op1_decontamination": op1_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_secrets": op7_secrets, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": oracle.DECONTAMINATION}
+    return {"op1_decontamination": oracle.DECONTAMINATION, "op5_substring_dedup": oracle.SUBSTRING_DEDUP}
