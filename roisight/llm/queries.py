@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from roisight.llm import oracle
 from roisight.llm._digest import span_digests
+from roisight.llm._store import checkpointed
+from roisight.llm.ann import build_index, search
+from roisight.llm.chat_format import format_conversations, learned_text, turns_text
 from roisight.llm.decontamination import decontaminate
 from roisight.llm.packing import pack
 from roisight.llm.secrets import scan_secrets
@@ -24,6 +27,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    index = checkpointed(build_index(vectors))
+    return search(index, vectors.where("vec_id % 50 = 0"), k=5, factor=1.0)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,6 +40,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    out = format_conversations(table.unionByName(more))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns_text("turns"), 256).alias("turns_sha256"),
+        F.char_length(learned_text("turns")).cast("long").alias("loss_chars"),
+        F.sha2(learned_text("turns"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -42,8 +67,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_secrets": op7_secrets, "op10_packing": op10_packing}
+    return {"op1_decontamination": op1_decontamination, "op2_chat_format": op2_chat_format, "op5_substring_dedup": op5_substring_dedup, "op7_secrets": op7_secrets, "op9_nearest": op9_nearest, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": oracle.DECONTAMINATION, "op5_substring_dedup": oracle.SUBSTRING_DEDUP}
+    return {"op1_decontamination": oracle.DECONTAMINATION, "op2_chat_format": oracle.CHAT_FORMAT, "op5_substring_dedup": oracle.SUBSTRING_DEDUP, "op9_nearest": oracle.NEAREST}
