@@ -16,7 +16,9 @@ longer than a window is cut.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,12 @@ _tables: dict[str, object] = {}
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """The class of every code point, and a hash code for it."""
     if "classes" not in _tables:
-        points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        at = np.fromiter(map(ord, points), np.int64, len(points))
-        everything = "".join(points)
+        points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4")
+        everything = points.tobytes().decode("utf-32-le")
         table = np.full(0x110000, _OTHER, np.uint8)
         for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
             for m in regex.finditer(pattern, everything):
-                table[at[m.start() : m.end()]] = kind
+                table[points[m.start() : m.end()]] = kind
         _tables["classes"] = table, mix64(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
     return _tables["classes"]
 
@@ -93,6 +94,7 @@ class BatchTokenizer:
     """Ids of many texts at once; each distinct pre-token goes through the tokenizer once."""
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -101,23 +103,26 @@ class BatchTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # sorted; ``number`` has each key's place in ``starts``
+        self.number = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, total = len(self.known), int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(keys) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[self.used : self.used + total] = [i for ids in found for i in ids]
-        self.starts[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(sizes)
-        self.used += total
-        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.starts = np.zeros(1, np.int64)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        base, sizes = len(self.keys), []
+        for k in range(0, len(pieces), 4096):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k : k + 4096], add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            used = int(self.starts[-1]) + sum(int(x.sum()) for x in sizes)
+            total = int(size.sum())
+            if used + total > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
+            self.flat[used : used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+            sizes.append(size)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.number = np.insert(self.number, where, np.arange(base, base + len(keys)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of texts -> all ids, and where each text's ids begin (one more than texts)."""
@@ -138,18 +143,17 @@ class BatchTokenizer:
         np.cumsum(_classes()[1][points] * up[: len(points)], out=sums[1:])
         keys = (sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
         distinct, where, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) > self.limit:
+        if len(self.keys) > self.limit:
             self._reset()
-        names = distinct.tolist()
-        numbers = [self.known.get(k, -1) for k in names]
-        unseen = [i for i, v in enumerate(numbers) if v < 0]
-        if unseen:
+        place = np.searchsorted(self.keys, distinct)
+        unseen = np.ones(len(distinct), bool)
+        within = place < len(self.keys)
+        unseen[within] = self.keys[place[within]] != distinct[within]
+        if unseen.any():
             b, e = begins[where[unseen]].tolist(), ends[where[unseen]].tolist()
-            base = len(self.known)
-            self._learn([names[i] for i in unseen], [text[x:y] for x, y in zip(b, e, strict=True)])
-            for k, i in enumerate(unseen):
-                numbers[i] = base + k
-        number = np.asarray(numbers, np.int64)
+            self._learn(distinct[unseen], [text[x:y] for x, y in zip(b, e, strict=True)])
+            place = np.searchsorted(self.keys, distinct)
+        number = self.number[place]
         size_of = self.starts[number + 1] - self.starts[number]
         sizes = size_of[which]
         ids = self.flat[np.repeat(self.starts[number][which], sizes) + ranges(sizes)]
@@ -261,7 +265,7 @@ def pack(documents: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col
                     for row in packer.add(docs[k], np.concatenate([ids[at[k - lo] : at[k - lo + 1]], end])):
                         rows.append(row)
                         held += len(row[2])
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield _batch(rows)
                     rows, held = [], 0
         rows += packer.finish()
