@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roisight.llm import oracle
+from roisight.llm import oracle, quality, toxicity
 from roisight.llm._digest import span_digests
 from roisight.llm._store import checkpointed
 from roisight.llm.ann import build_index, search
@@ -56,18 +56,33 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels, keep=toxicity.fold("doc_id", 5) != 0)
+    out = toxicity.score(documents, model)
+    return out.select("doc_id", (toxicity.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = quality.describe(_table(spark, sf_dir, "documents"))
+    model = quality.fit(described, _table(spark, sf_dir, "labels"), keep=toxicity.fold("doc_id", 4) != 2)
+    score = quality.compile_rules(model)
+    scored = described.select("doc_id", (toxicity.fold("doc_id", 4) == 2).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *span_digests("spans", ["assign", "access", "hex"]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_chat_format": op2_chat_format, "op5_substring_dedup": op5_substring_dedup, "op7_secrets": op7_secrets, "op9_nearest": op9_nearest, "op10_packing": op10_packing}
+    return {"op1_decontamination": op1_decontamination, "op2_chat_format": op2_chat_format, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op9_nearest": op9_nearest, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
