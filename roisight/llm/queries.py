@@ -13,6 +13,7 @@ from roisight.llm._store import checkpointed
 from roisight.llm.ann import build_index, search
 from roisight.llm.chat_format import format_conversations, learned_text, turns_text
 from roisight.llm.decontamination import decontaminate
+from roisight.llm.ngram_join import jaccard_components
 from roisight.llm.packing import pack
 from roisight.llm.secrets import scan_secrets
 from roisight.llm.substring_dedup import remove_repeats
@@ -56,6 +57,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(documents, labels, keep=toxicity.fold("doc_id", 5) != 0)
@@ -82,8 +87,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_chat_format": op2_chat_format, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op9_nearest": op9_nearest, "op10_packing": op10_packing}
+    return {"op1_decontamination": op1_decontamination, "op2_chat_format": op2_chat_format, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op9_nearest": op9_nearest, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": oracle.DECONTAMINATION, "op2_chat_format": oracle.CHAT_FORMAT, "op5_substring_dedup": oracle.SUBSTRING_DEDUP, "op9_nearest": oracle.NEAREST}
+    return {"op1_decontamination": oracle.DECONTAMINATION, "op2_chat_format": oracle.CHAT_FORMAT, "op3_ngram_jaccard": oracle.NGRAM_JACCARD, "op5_substring_dedup": oracle.SUBSTRING_DEDUP, "op9_nearest": oracle.NEAREST}
