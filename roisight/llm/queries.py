@@ -15,6 +15,7 @@ from roisight.llm.chat_format import format_conversations, learned_text, turns_t
 from roisight.llm.decontamination import decontaminate
 from roisight.llm.ngram_join import jaccard_components
 from roisight.llm.packing import pack
+from roisight.llm.pii import find_pii
 from roisight.llm.secrets import scan_secrets
 from roisight.llm.substring_dedup import remove_repeats
 
@@ -28,6 +29,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *span_digests("spans", ["email", "ip", "card", "phone"]))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     index = checkpointed(build_index(vectors))
@@ -87,7 +93,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_chat_format": op2_chat_format, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op9_nearest": op9_nearest, "op10_packing": op10_packing}
+    return {"op1_decontamination": op1_decontamination, "op2_chat_format": op2_chat_format, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_pii": op8_pii, "op9_nearest": op9_nearest, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
