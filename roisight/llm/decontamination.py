@@ -25,6 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Consecutive words in a window.
 WIDTH = 13
@@ -121,8 +122,11 @@ def shards(items: Iterator, limit: int = SHARD_WORDS) -> list[list[tuple[object,
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id",
-                  item_text_col="text", width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per document: words, hit words, items found, their digest, verdict, hit spans in the original text."""
+                  item_text_col="text", width: int = WIDTH, shard_words: int = SHARD_WORDS, carry: bool = False) -> DataFrame:
+    """One row per document: words, hit words, items found, their digest, verdict, hit spans in the original text.
+
+    With ``carry`` the input row comes along in a column ``row``.
+    """
     spark = documents.sparkSession
     items = benchmark.select(item_col, item_text_col).where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
     # rows stream to the driver; an automaton is shipped for each bounded shard
@@ -145,6 +149,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id"
                         old = found.get(k, ([], set()))
                         found[k] = (merged(old[0] + hit), old[1] | names)
             rows = [_row(d, texts[k].as_py() if k in found else "", counts[k], *found.get(k, ([], set()))) for k, d in enumerate(docs)]
-            yield pa.RecordBatch.from_pylist(rows, schema=_OUT)
+            out = pa.RecordBatch.from_pylist(rows, schema=_OUT)
+            yield pa.RecordBatch.from_arrays([*out.columns, *batch.columns[2:]], names=[*out.schema.names, *batch.schema.names[2:]])
 
-    return documents.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(scan, SCHEMA)
+    read = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    schema = T._parse_datatype_string(SCHEMA)
+    return read.mapInArrow(scan, schema.add("row", documents.schema) if carry else schema)

@@ -91,9 +91,9 @@ def _left_context(text: Column, start: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(words, r"\s+", " "), "[0-9]+", "0")
 
 
-def extract(documents: DataFrame, *, id_col="doc_id", text_col="text", keep_text: bool = False) -> DataFrame:
-    """One row per document: base matches, and instances (base or codes) that stand behind a context."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def extract(documents: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str] = ()) -> DataFrame:
+    """One row per document: base matches, and instances (base or codes) that stand behind a context; ``keep`` names input columns to carry."""
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_{c}") for c in keep))
     based = docs.withColumn("base", base_matches(F.col("text")))
     free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     labelled = F.col("text").rlike("[:=#]") & F.col("text").rlike("[0-9@]")
@@ -102,7 +102,7 @@ def extract(documents: DataFrame, *, id_col="doc_id", text_col="text", keep_text
     seen = F.when(labelled, F.transform(F.concat("base", "codes"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["match"]).alias("value"), _left_context(F.col("text"), s["start"]).alias("pattern"))))
     instances = F.coalesce(F.filter(seen, lambda s: s["pattern"] != ""), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:bigint,pattern:string>>"))
     spans = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return coded.select("doc_id", spans.cast(_SPANS).alias("base"), instances.alias("instances"), *(["text"] if keep_text else []))
+    return coded.select("doc_id", spans.cast(_SPANS).alias("base"), instances.alias("instances"), *(F.col(f"_{c}").alias(c) for c in keep))
 
 
 def discover_patterns(extracted: DataFrame) -> list[str]:

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roisight.llm._text import text_chunks, word_hashes, word_spans
 
@@ -216,7 +217,7 @@ def _count_tokens(number: dict[str, int]):
 
 
 def _scan(weights: dict[str, float]):
-    """Rows (id, words, segments, label): segments as (start, end, score), start and end in words and bytes."""
+    """Rows (id, words, best score, segments, then the columns after the text): segments as (start, end, score) in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(lambda w: max((weights[t] for t in tokens(w) if t in weights), default=0.0), 0.0)
@@ -235,7 +236,7 @@ def _scan(weights: dict[str, float]):
                     out_best.append(max((s.score for s in segments), default=0.0))
                     raw = data[offsets[k] : offsets[k + 1]]
                     out_segments.append([_chars(raw, starts[first[k] + s.start] - offsets[k], ends[first[k] + s.end - 1] - offsets[k], s.score) for s in segments])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_words, pa.int64()), pa.array(out_best, pa.float64()), pa.array(out_segments, _SEGMENTS), batch.column(2)], schema=_SCANNED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_words, pa.int64()), pa.array(out_best, pa.float64()), pa.array(out_segments, _SEGMENTS), *batch.columns[2:]], names=["doc_id", "n_words", "best", "segments", *batch.schema.names[2:]])
 
     return run
 
@@ -247,8 +248,7 @@ def _chars(raw: np.ndarray, a: int, b: int, score: float) -> dict:
 
 
 _SEGMENTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-_SCANNED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("best", pa.float64()), ("segments", _SEGMENTS), ("label", pa.int32())])
-SCANNED = "doc_id long, n_words long, best double, segments array<struct<start:long,end:long,score:double>>, label int"
+SCANNED = "doc_id long, n_words long, best double, segments array<struct<start:long,end:long,score:double>>"
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, keep: Column, label="toxic", id_col="doc_id", text_col="text", train_rows: int = TRAIN_ROWS) -> Model:
@@ -283,17 +283,21 @@ def fit(documents: DataFrame, labels: DataFrame, *, keep: Column, label="toxic",
             uses[round(weight, 1)] += r["other"] / n_other * n_all  # how often it occurs in texts that are not toxic
     uses[NEUTRAL] += words_row["total"] if words_row else 1
     decay = chance_decay(uses | {max(weights.values(), default=1.0): max(1.0, uses.get(round(max(weights.values(), default=1.0), 1), 0.0))})
-    scanned = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label").mapInArrow(_scan(weights), SCANNED)
+    scanned = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label").mapInArrow(_scan(weights), SCANNED + ", label int")
     train = scanned.select("n_words", "best", "label").limit(2 * train_rows).collect()
     x = np.array([evidence(r[1], r[0], decay) for r in train])
     offset, slope = fit_logistic(x, np.array([float(r[2]) for r in train]))
     return Model(weights, decay, offset, slope, rate)
 
 
-def score(documents: DataFrame, model: Model, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per document: words, probability, and every segment that chance explains less than once in ten texts."""
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("int").alias("label"))
-    scanned = rows.mapInArrow(_scan(model.weights), SCANNED)
+def score(documents: DataFrame, model: Model, *, id_col="doc_id", text_col="text", carry: bool = False) -> DataFrame:
+    """One row per document: words, probability, and every segment that chance explains less than once in ten texts.
+
+    With ``carry`` the input row comes along in a column ``row``, so that nothing has to be joined back.
+    """
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    schema = T._parse_datatype_string(SCANNED)
+    scanned = rows.mapInArrow(_scan(model.weights), schema.add("row", documents.schema) if carry else schema)
     surprise = lambda s: (F.lit(model.decay) * s - F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))) / math.log(10)
     chance = 1 / (1 + F.exp(-(F.lit(model.offset) + F.lit(model.slope) * surprise(F.col("best")))))
-    return scanned.select("doc_id", "n_words", chance.alias("score"), F.filter("segments", lambda s: surprise(s["score"]) > 1).alias("passages"))
+    return scanned.select("doc_id", "n_words", chance.alias("score"), F.filter("segments", lambda s: surprise(s["score"]) > 1).alias("passages"), *(["row"] if carry else []))
