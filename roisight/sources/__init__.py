@@ -1 +1 @@
-
+"""Where voxels come from."""
