@@ -217,8 +217,35 @@ ev AS (SELECT {K}, CASE WHEN abs(l) <= 1e-12 * h THEN 0 ELSE l END AS l, h FROM
 out AS (SELECT {K}, 4 * sqrt(h) AS major_axis_length, CASE WHEN l < 0 THEN 'nan'::DOUBLE ELSE 4 * sqrt(l) END AS minor_axis_length, CASE WHEN h = 0 THEN 'nan'::DOUBLE ELSE sqrt(greatest(l, 0) / h) END AS elongation FROM ev)"""
 
 
+_AXES3 = f"""cv AS (SELECT {K}, count(*) AS n, coalesce(covar_samp(px, px), 0) AS a, coalesce(covar_samp(py, py), 0) AS b, coalesce(covar_samp(pz, pz), 0) AS c,
+  coalesce(covar_samp(px, py), 0) AS d, coalesce(covar_samp(px, pz), 0) AS e, coalesce(covar_samp(py, pz), 0) AS f
+  FROM (SELECT {K}, (x - 0.5) * sx AS px, (y - 0.5) * sy AS py, (z - 0.5) * sz AS pz FROM roi JOIN sp USING (image_id, plane)) GROUP BY ALL),
+e1 AS (SELECT *, (a + b + c) / 3 AS q FROM cv),
+e2 AS (SELECT *, sqrt((pow(a - q, 2) + pow(b - q, 2) + pow(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM e1),
+e3 AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE least(1, greatest(-1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / pow(p, 3) / 2)) END AS r FROM e2),
+e4 AS (SELECT *, q + 2 * p * cos(acos(r) / 3) AS h, q + 2 * p * cos(acos(r) / 3 + 2 * pi() / 3) AS l FROM e3),
+ev AS (SELECT {K}, n, h, CASE WHEN l > 1e-12 * h THEN l ELSE 0 END AS l1, CASE WHEN 3 * q - h - l > 1e-12 * h THEN 3 * q - h - l ELSE 0 END AS l2 FROM e4),
+out AS (SELECT {K}, 4 * sqrt(l1) AS least_axis_length, 4 * sqrt(l2) AS minor_axis_length, 4 * sqrt(h) AS major_axis_length,
+  CASE WHEN n > 1 AND l2 > 0 THEN sqrt(l2 / h) ELSE 'nan'::DOUBLE END AS elongation, CASE WHEN n > 1 AND l1 > 0 THEN sqrt(l1 / h) ELSE 'nan'::DOUBLE END AS flatness FROM ev)"""
+
+
+def _named(part: str, name: str) -> str:
+    """A part whose result is called otherwise than out."""
+    head, _, tail = part.rpartition("out AS (")
+    return f"{head}{name} AS ({tail}"
+
+
+_SHAPE2 = f"""isl AS (SELECT {K}, count(DISTINCT first) AS number_of_islands FROM com GROUP BY ALL),
+out AS (SELECT {K}, perimeter, mesh_surface, maximum_diameter, n * sx * sy AS pixel_surface, perimeter / mesh_surface AS perimeter_surface_ratio, 2 * sqrt(pi() * mesh_surface) / perimeter AS sphericity,
+  major_axis_length, minor_axis_length, elongation
+  FROM mesh JOIN dia USING ({K}) JOIN axes USING ({K}) JOIN (SELECT {K}, count(*) AS n FROM roi GROUP BY ALL) USING ({K}) JOIN sp USING (image_id, plane))"""
+_SHAPE3 = f"""out AS (SELECT {K}, surface_area, mesh_volume, surface_area / mesh_volume AS surface_volume_ratio, pow(pi(), 1 / 3) * pow(6 * mesh_volume, 2 / 3) / surface_area AS sphericity, maximum_3d_diameter,
+  least_axis_length, minor_axis_length, major_axis_length, elongation, flatness, n * sx * sy * sz AS voxel_volume
+  FROM mesh JOIN dia USING ({K}) JOIN axes USING ({K}) JOIN (SELECT {K}, count(*) AS n FROM roi GROUP BY ALL) USING ({K}) JOIN sp USING (image_id, plane))"""
+
+
 def _sql(*parts: str, select: str = "rounded", recursive: bool = False) -> str:
-    chosen = f"SELECT {K}, round(COLUMNS(* EXCLUDE (image_id, label, plane, slice_idx)), 6) FROM out" if select == "rounded" else select
+    chosen = f"SELECT {K}, round(COLUMNS(* EXCLUDE (image_id, label, plane, slice_idx)) + 1e-9, 6) FROM out" if select == "rounded" else select
     return f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)} {chosen}"
 
 
@@ -234,14 +261,14 @@ def oracle_sql() -> dict[str, str]:
         "label_filter": _sql(_EMBEDDED, one, select=f"SELECT {K}, count(*) AS voxels FROM roi GROUP BY ALL"),
         "multi_label": _sql(*volumes, select=f"SELECT {K}, count(*) AS voxels FROM roi GROUP BY ALL"),
         "missing_labels": _sql(_EMBEDDED, select="SELECT image_id, l AS label FROM img, (VALUES (1), (2), (3)) AS w(l) WHERE NOT EXISTS (SELECT 1 FROM vox WHERE vox.image_id = img.image_id AND vox.label = l)"),
-        "slice_2d": _sql(*flat, select="SELECT image_id, label, plane, slice_idx, x, y, z, round(v, 6) AS v FROM roi"),
+        "slice_2d": _sql(*flat, select="SELECT image_id, label, plane, slice_idx, x, y, z, round(v + 1e-9, 6) AS v FROM roi"),
         "slice_spacing": _sql(_LINES_SOURCE, _SLICED, select="SELECT image_id, plane, sx, sy, sz FROM sp"),
         "bounding_box": _sql(*sparse, select=f"SELECT {K}, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM roi GROUP BY ALL"),
-        "crop": _sql(*sparse, select=f"SELECT {K}, x - min(x) OVER w + 2 AS x, y - min(y) OVER w + 2 AS y, z - min(z) OVER w + 2 AS z, round(v, 6) AS v FROM roi WINDOW w AS (PARTITION BY {K})"),
+        "crop": _sql(*sparse, select=f"SELECT {K}, x - min(x) OVER w + 2 AS x, y - min(y) OVER w + 2 AS y, z - min(z) OVER w + 2 AS z, round(v + 1e-9, 6) AS v FROM roi WINDOW w AS (PARTITION BY {K})"),
         "discretize_n_bins": _sql(*volumes, bins, select=level_counts),
         "discretize_bin_width": _sql(*volumes, _levels(width=WIDTH), select=level_counts),
         "discretize_default": _sql(*sparse, _levels(), select=level_counts),
-        "binning_warning": _sql(*sparse, select=f"SELECT {K}, round(max(v) - min(v), 6) AS span, CAST(ceil((max(v) - min(v)) / 24.0) AS BIGINT) AS bins FROM roi GROUP BY ALL HAVING ceil((max(v) - min(v)) / 24.0) < 3"),
+        "binning_warning": _sql(*sparse, select=f"SELECT {K}, round(max(v) - min(v) + 1e-9, 6) AS span, CAST(ceil((max(v) - min(v)) / 24.0) AS BIGINT) AS bins FROM roi GROUP BY ALL HAVING ceil((max(v) - min(v)) / 24.0) < 3"),
         "first_order": _sql(*volumes, bins, _FIRST),
         "first_order_bin_width": _sql(*volumes, _levels(width=WIDTH), _FIRST),
         "first_order_slices": _sql(*flat, bins, _FIRST),
@@ -249,7 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "first_order_quantiles": _sql(*volumes, _QUANTILES, "out AS (SELECT * FROM qs)"),
         "along_lines": _sql(*volumes, bins, l3, select=f"SELECT {K}, dir, count(*) AS voxels, count(pg) AS pairs, CAST(sum(coalesce(ng, 0)) AS BIGINT) AS next_sum FROM lin GROUP BY ALL"),
         "glcm_counts": _sql(*volumes, bins, l3, _PAIRS, select=f"SELECT {K}, dir, i, j, n FROM cnt"),
-        "glcm_matrix": _sql(*volumes, bins, l3, _PAIRS, _GLCM_PLAIN, select=f"SELECT {K}, dir, i, j, round(p, 6) AS p FROM gm"),
+        "glcm_matrix": _sql(*volumes, bins, l3, _PAIRS, _GLCM_PLAIN, select=f"SELECT {K}, dir, i, j, round(p + 1e-9, 6) AS p FROM gm"),
         "glcm_features": _sql(*volumes, bins, l3, _PAIRS, _GLCM_PLAIN, _GLCM_FEATURES),
         "glcm_slices": _sql(*flat, bins, l2, _PAIRS, _GLCM_PLAIN, _GLCM_FEATURES),
         "glcm_sparse": _sql(*sparse, bins, l3, _PAIRS, _GLCM_PLAIN, _GLCM_FEATURES),
@@ -268,7 +295,7 @@ def oracle_sql() -> dict[str, str]:
         "gldm_matrix": _sql(*volumes, bins, l3, _near(), _DM, select=f"SELECT {K}, g, dep, n FROM dm"),
         "gldm_features": _sql(*volumes, bins, l3, _near(), _DM, _dependences()),
         "gldm_near_levels": _sql(*volumes, bins, l3, _near(1), _DM, _dependences()),
-        "ngtdm_matrix": _sql(*volumes, bins, l3, _near(), _NM, select=f"SELECT {K}, g, n, round(s, 6) AS s FROM nm"),
+        "ngtdm_matrix": _sql(*volumes, bins, l3, _near(), _NM, select=f"SELECT {K}, g, n, round(s + 1e-9, 6) AS s FROM nm"),
         "ngtdm_features": _sql(*volumes, bins, l3, _near(), _NM, _NGTDM),
         "ngtdm_sparse": _sql(*sparse, bins, l3, _near(), _NM, _NGTDM),
         "mesh_cells_2d": _sql(*flat, _cells(2), select=f'SELECT {K}, cx, cy, cz, case_ AS "case" FROM cel'),
@@ -279,6 +306,25 @@ def oracle_sql() -> dict[str, str]:
         "mesh_metrics_3d": _sql(*volumes, _cells(3), _pieces(3), _MESH3),
         "diameter_3d": _sql(*volumes, _cells(3), _pieces(3), _diameter(3, "maximum_3d_diameter")),
     }
+    shown = f"SELECT {K}, round(COLUMNS(* EXCLUDE (image_id, label, plane, slice_idx)) + 1e-9, 6), CAST({{}} AS INTEGER) AS number_of_islands FROM out"
+    found["principal_axes_3d"] = _sql(*volumes, _AXES3)
+    found["shape2d"] = _sql(
+        *flat, _cells(2), _pieces(2), _named(_MESH2, "mesh"), _named(_diameter(2, "maximum_diameter"), "dia"), _named(_AXES2, "axes"), _components("roi", "0"), _SHAPE2,
+        select=f"SELECT * FROM ({shown.format(0)}) AS o".replace("SELECT *", "SELECT o.* EXCLUDE (number_of_islands), CAST(isl.number_of_islands AS INTEGER) AS number_of_islands") + f" JOIN isl USING ({K})", recursive=True,
+    )
+    found["shape3d"] = _sql(*volumes, _cells(3), _pieces(3), _named(_MESH3, "mesh"), _named(_diameter(3, "maximum_3d_diameter"), "dia"), _named(_AXES3, "axes"), _SHAPE3, select=shown.format(1))
+    first, tone = _named(_FIRST, "fo"), _named(_NGTDM, "ng")
+    long = "SELECT {K}, '{f}' AS family, '{p}_' || feature AS feature, round(value + 1e-9, 6) AS value FROM (UNPIVOT {t} ON COLUMNS(* EXCLUDE (image_id, label, plane, slice_idx)) INTO NAME feature VALUE value)"
+    tables = (*volumes, bins, l3, _near(), _NM, tone.replace("one AS", "o1 AS").replace("FROM one", "FROM o1"), first)
+    found["features_long"] = _sql(*tables, select=long.format(K=K, f="first_order", p="firstorder", t="fo") + " UNION ALL " + long.format(K=K, f="ngtdm", p="ngtdm", t="ng"))
+    found["extract_features"] = _sql(
+        *volumes, bins, l3, _near(), _DM, first, _named(_dependences(), "de"),
+        select=f'SELECT {K}, round(mean + 1e-9, 6) AS "firstorder_mean", round(entropy + 1e-9, 6) AS "firstorder_entropy", round("DependenceEntropy" + 1e-9, 6) AS "gldm_DependenceEntropy", label AS label_id FROM fo JOIN de USING ({K})',
+    )
+    found["diagnostics"] = _sql(
+        *volumes, select=f"""SELECT {K}, 25.0::DOUBLE AS "diagnosis_Bin_width", {BINS} AS "diagnosis_Number_of_bins", 'no_weighting' AS "diagnosis_Weighting_norm",
+        3 AS "diagnosis_Dimensionality_of_image", concat_ws('x', max(x) - min(x) + 1, max(y) - min(y) + 1, max(z) - min(z) + 1) AS cropped FROM roi GROUP BY {K}""",
+    )
     for norm in ("infinity", "euclidean", "manhattan"):
         found[f"glcm_{norm}"] = _sql(*sparse, bins, l3, _PAIRS, _weights(norm, 3, "exp(-pow({}, 2))"), _GLCM_WEIGHTED, _GLCM_FEATURES)
         found[f"glrlm_{norm}"] = _sql(*sparse, bins, l3, _RUNS, _weights(norm, 3, "{}"), _glrlm(norm))

@@ -19,8 +19,8 @@ SLICES = ((1, 2), (2, 5), (3, 4))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison; negative zero is zero."""
-    return df.select(*(F.round(F.col(c), digits).alias(c) + F.lit(0.0) if t == "double" else F.col(c) for c, t in df.dtypes)).toDF(*df.columns)
+    """Doubles rounded for comparison; a nudge keeps values such as 1/128 off the ties, and negative zero is zero."""
+    return df.select(*(F.round(F.col(c) + 1e-9, digits) + F.lit(0.0) if t == "double" else F.col(c) for c, t in df.dtypes)).toDF(*df.columns)
 
 
 def embedding_volumes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
