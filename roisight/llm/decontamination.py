@@ -136,7 +136,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id"
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = None if len(cast) > 1 else [WindowAutomaton(cast[0].value, width)]
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
+            docs, texts = batch.column(0).to_pylist(), batch.column(1).field(text_col) if carry else batch.column(1)
             found: dict[int, tuple[list, set]] = {}
             counts = [0] * len(docs)
             for part in cast:  # more than one automaton never stands in memory at once
@@ -150,8 +150,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id"
                         found[k] = (merged(old[0] + hit), old[1] | names)
             rows = [_row(d, texts[k].as_py() if k in found else "", counts[k], *found.get(k, ([], set()))) for k, d in enumerate(docs)]
             out = pa.RecordBatch.from_pylist(rows, schema=_OUT)
-            yield pa.RecordBatch.from_arrays([*out.columns, *batch.columns[2:]], names=[*out.schema.names, *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([*out.columns, *batch.columns[1:][: int(carry)]], names=[*out.schema.names, *batch.schema.names[1:][: int(carry)]])
 
-    read = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    read = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row") if carry else F.col(text_col).cast("string").alias("text"))
     schema = T._parse_datatype_string(SCHEMA)
     return read.mapInArrow(scan, schema.add("row", documents.schema) if carry else schema)

@@ -45,7 +45,9 @@ NEUTRAL = -0.08
 #: A word's beginnings of these lengths are tokens as well.
 STEMS = (3, 4, 5, 6, 7)
 #: Distinct words that a task remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Tokens that a task counts before it passes the counts on.
+HELD_TOKENS = 200_000
 
 #: Letters: ASCII ones and all non-ASCII bytes.
 LETTERS = np.zeros(256, bool)
@@ -180,10 +182,14 @@ def _toxic_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         which, found = lexicon.values(data, starts, ends)
         for k in range(hi - lo):
             counts.update({t for w in np.unique(which[first[k] : first[k + 1]]).tolist() for t in found[w]})
-    names = list(counts)
-    for at in range(0, len(names), 50_000):
-        part = names[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[t] for t in part], pa.int64())], names=["token", "n"])
+        if len(counts) > HELD_TOKENS:
+            yield _counted(counts)
+            counts.clear()
+    yield _counted(counts)
+
+
+def _counted(counts: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
 
 
 def _count_tokens(number: dict[str, int]):
@@ -216,14 +222,19 @@ def _count_tokens(number: dict[str, int]):
     return run
 
 
-def _scan(weights: dict[str, float]):
-    """Rows (id, words, best score, segments, then the columns after the text): segments as (start, end, score) in code points."""
+def _scan(weights: dict[str, float], text_field: str | None = None):
+    """Rows (id, words, best score, segments, other columns): segments as (start, end, score) in code points.
+
+    The text is the second column, or a field of it, a struct that is passed on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skip = 1 if text_field else 2
         lexicon = Lexicon(lambda w: max((weights[t] for t in tokens(w) if t in weights), default=0.0), 0.0)
         for batch in batches:
             out_words, out_best, out_segments = [], [], []
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+            text = batch.column(1).field(text_field).cast(pa.string()) if text_field else batch.column(1)
+            for lo, hi, data, offsets in text_chunks(text):
                 starts, ends, first = word_spans(data, offsets, LETTERS)
                 which, found = lexicon.values(data, starts, ends)
                 score = np.asarray(found, float)[which] if len(which) else np.zeros(0)
@@ -236,7 +247,7 @@ def _scan(weights: dict[str, float]):
                     out_best.append(max((s.score for s in segments), default=0.0))
                     raw = data[offsets[k] : offsets[k + 1]]
                     out_segments.append([_chars(raw, starts[first[k] + s.start] - offsets[k], ends[first[k] + s.end - 1] - offsets[k], s.score) for s in segments])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_words, pa.int64()), pa.array(out_best, pa.float64()), pa.array(out_segments, _SEGMENTS), *batch.columns[2:]], names=["doc_id", "n_words", "best", "segments", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_words, pa.int64()), pa.array(out_best, pa.float64()), pa.array(out_segments, _SEGMENTS), *batch.columns[skip:]], names=["doc_id", "n_words", "best", "segments", *batch.schema.names[skip:]])
 
     return run
 
@@ -295,9 +306,13 @@ def score(documents: DataFrame, model: Model, *, id_col="doc_id", text_col="text
 
     With ``carry`` the input row comes along in a column ``row``, so that nothing has to be joined back.
     """
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
     schema = T._parse_datatype_string(SCANNED)
-    scanned = rows.mapInArrow(_scan(model.weights), schema.add("row", documents.schema) if carry else schema)
+    if carry:  # the text travels once, within the row
+        rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
+        scanned = rows.mapInArrow(_scan(model.weights, text_col), schema.add("row", documents.schema))
+    else:
+        rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        scanned = rows.mapInArrow(_scan(model.weights), schema)
     surprise = lambda s: (F.lit(model.decay) * s - F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))) / math.log(10)
     chance = 1 / (1 + F.exp(-(F.lit(model.offset) + F.lit(model.slope) * surprise(F.col("best")))))
     return scanned.select("doc_id", "n_words", chance.alias("score"), F.filter("segments", lambda s: surprise(s["score"]) > 1).alias("passages"), *(["row"] if carry else []))
