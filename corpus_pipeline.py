@@ -20,6 +20,10 @@ from roisight.llm.ngram_join import jaccard_components
 from roisight.llm.packing import pack
 
 
+#: Near-copies share at least four fifths of their shingles of so many words.
+SHINGLE_WORDS = 5
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5; labels of the held-out fold are not learnt from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -29,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each component of near-copies; of rows that repeat an id, one."""
-    found = checkpointed(jaccard_components(docs).select("doc_id", "component_id"))
+    found = checkpointed(jaccard_components(docs, width=SHINGLE_WORDS, num=4, den=5).select("doc_id", "component_id"))
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(maybe_broadcast(copies, 8), "doc_id", "left_anti").select(*docs.columns)
     repeated = checkpointed(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
