@@ -23,6 +23,18 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Most rows in an Arrow batch of texts: texts are long, and batches stay in memory on both sides.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's rows for each Arrow batch to ``BATCH_ROWS``, if they are more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, written to the cluster's checkpoint folder; a local folder serves only where none is set."""
     spark = df.sparkSession

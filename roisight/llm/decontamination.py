@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roisight.llm._store import bounded_batches
+
 #: Consecutive words in a window.
 WIDTH = 13
 #: Item words held by one automaton.
@@ -127,7 +129,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id"
 
     With ``carry`` the input row comes along in a column ``row``.
     """
-    spark = documents.sparkSession
+    spark = bounded_batches(documents).sparkSession
     items = benchmark.select(item_col, item_text_col).where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
     # rows stream to the driver; an automaton is shipped for each bounded shard
     groups = shards(((r[0], r[1]) for r in items.toLocalIterator()), shard_words)

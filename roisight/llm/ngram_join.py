@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roisight.llm._store import checkpointed, maybe_broadcast
+from roisight.llm._store import bounded_batches, checkpointed, maybe_broadcast
 from roisight.llm._text import LOWER, NON_SPACE, mix64, text_chunks, window_hashes, word_hashes, word_spans
 from roisight.llm.components import components
 
@@ -418,7 +418,7 @@ def jaccard_components(documents: DataFrame, *, id_col="doc_id", text_col="text"
     """One row per document: shingles in its set and the smallest id that links reach."""
     t = Threshold(num, den)
     parts = max(2, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col).cast("string")).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col).cast("string")).alias("tag"), F.col(text_col).cast("string").alias("text"))
     prints = checkpointed(docs.mapInArrow(_prints(width), "doc_id long, tag int, n long, p1 long, p2 long"))
     real = prints.where("n > 0 AND doc_id IS NOT NULL")
     first = real.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("rep"))

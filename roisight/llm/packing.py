@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roisight.llm._store import bounded_batches
 from roisight.llm._text import mix64, ranges, text_chunks
 
 WINDOW = 1024
@@ -272,4 +273,4 @@ def pack(documents: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col
         if rows:
             yield _batch(rows)
 
-    return documents.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return bounded_batches(documents).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roisight.llm._store import bounded_batches
 from roisight.llm._text import LOWER, NON_SPACE, text_chunks, word_hashes, word_spans
 from roisight.llm.toxicity import training_labels
 
@@ -103,7 +104,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(documents: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """The statistics of every document."""
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_describe, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 

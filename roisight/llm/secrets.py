@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roisight.llm._store import bounded_batches
+
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -125,4 +127,4 @@ def scan_secrets(documents: DataFrame, *, id_col="doc_id", text_col="text") -> D
             spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_spans(t.as_py() or b"", machine)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _OUT.field(1).type)], schema=_OUT)
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)

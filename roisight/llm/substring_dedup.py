@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roisight.llm._store import checkpointed, maybe_broadcast
+from roisight.llm._store import bounded_batches, checkpointed, maybe_broadcast
 from roisight.llm._text import NON_SPACE, ranges, text_chunks, window_hashes, word_hashes, word_spans
 
 WIDTH = 13
@@ -194,7 +194,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(documents: DataFrame, *, id_col="doc_id", text_col="text", width: int = WIDTH) -> DataFrame:
     """One row per document: words, removed words, kept words joined by a blank, removed word intervals."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tag = F.hash("text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     windows = size / 6

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roisight.llm._store import bounded_batches
 from roisight.llm._text import text_chunks, word_hashes, word_spans
 
 TRAIN_ROWS = 12_000
@@ -45,7 +46,7 @@ NEUTRAL = -0.08
 #: A word's beginnings of these lengths are tokens as well.
 STEMS = (3, 4, 5, 6, 7)
 #: Distinct words that a task remembers before it starts afresh.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 #: Tokens that a task counts before it passes the counts on.
 HELD_TOKENS = 200_000
 
@@ -197,7 +198,7 @@ def _count_tokens(number: dict[str, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(number) + 2, 3), np.int64)
-        lexicon = Lexicon(lambda w: [number[t] for t in tokens(w) if t in number], None)
+        lexicon = Lexicon(lambda w: tuple(number[t] for t in tokens(w) if t in number), ())
         for batch, lo, hi, data, _, starts, ends, first in _words(batches, 1):
             mark = np.array([2 if v is None else 1 - v for v in batch.column(0)[lo:hi].to_pylist()])  # 0 toxic, 1 other, 2 unlabelled
             which, found = lexicon.values(data, starts, ends)
@@ -264,7 +265,7 @@ SCANNED = "doc_id long, n_words long, best double, segments array<struct<start:l
 
 def fit(documents: DataFrame, labels: DataFrame, *, keep: Column, label="toxic", id_col="doc_id", text_col="text", train_rows: int = TRAIN_ROWS) -> Model:
     """Weights and calibration from training rows (where ``keep`` holds) and counts of all documents."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = training_labels(labels, label, keep, train_rows)
     spark = docs.sparkSession
     known = spark.createDataFrame([(r[0], r[1]) for r in sample.collect()], "doc_id long, label int")
@@ -306,6 +307,7 @@ def score(documents: DataFrame, model: Model, *, id_col="doc_id", text_col="text
 
     With ``carry`` the input row comes along in a column ``row``, so that nothing has to be joined back.
     """
+    bounded_batches(documents)
     schema = T._parse_datatype_string(SCANNED)
     if carry:  # the text travels once, within the row
         rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
