@@ -51,9 +51,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data give way to their kind in brackets; the character count follows."""
-    patterns = pii.discover_patterns(checkpointed(pii.extract(docs)))
+    stored = checkpointed(pii.extract(docs))
+    patterns = checkpointed(pii.pattern_table(stored))
     row = F.struct(*docs.columns)
-    found = pii.with_spans(pii.extract(docs.withColumn("row", row), keep=["row"]), patterns)
+    found = pii.with_spans(pii.extract(docs.withColumn("row", row), keep=["row"]), patterns, stored=stored)
     text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(pii.masked(F.col("row.text"), F.col("spans")))
     masked = found.select(*(text.alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns), F.size("spans").alias("_spans"))
     chars = F.when(F.col("_spans") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))

@@ -13,9 +13,10 @@ patterns'.  Patterns with high scores and enough distinct seeds then mark
 instances that no expression knows, as spans of kind ``context``.
 
 Spans are in code points, end exclusive, ordered by start, then kind as listed.
-The driver receives at most ``MOST_PATTERNS`` patterns.  Defined cases: a null or
-empty text has no spans; repeated rows give a row each and their values count
-once; a null id is kept.
+All qualifying patterns stay a table, however many: it is joined to the distinct
+sets of patterns that rows hold, and these to the rows, broadcast only under
+``BROADCAST_BYTES``.  Defined cases: a null or empty text has no spans; repeated
+rows give a row each and their values count once; a null id is kept.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roisight.llm._store import checkpointed
+from roisight.llm._store import checkpointed, maybe_broadcast, small_enough
 
 KINDS = ("email", "ip", "card", "phone", "context")
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -36,7 +37,9 @@ CONTEXT = r"((?:\S{1,30}\s+)?\S{0,30}[:=#])\s{0,3}[\"'(]?$"
 #: Characters of left context that are looked at.
 CONTEXT_CHARS = 96
 ROUNDS = 3
-LEAST_SCORE, LEAST_SEEDS, MOST_PATTERNS = 0.75, 4, 1_000
+LEAST_SCORE, LEAST_SEEDS = 0.75, 4
+#: Most bytes of patterns in a broadcast, and the most that one takes (62 characters of up to four bytes).
+BROADCAST_BYTES, PATTERN_BYTES = 48 << 20, 256
 
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -105,8 +108,8 @@ def extract(documents: DataFrame, *, id_col="doc_id", text_col="text", keep: lis
     return coded.select("doc_id", spans.cast(_SPANS).alias("base"), instances.alias("instances"), *(F.col(f"_{c}").alias(c) for c in keep))
 
 
-def discover_patterns(extracted: DataFrame) -> list[str]:
-    """Contexts that the graph of patterns and instances scores high, at most ``MOST_PATTERNS``."""
+def pattern_table(extracted: DataFrame) -> DataFrame:
+    """All contexts (pattern, p, seeds) that the graph of patterns and instances scores high."""
     edges = extracted.select(F.explode("instances").alias("i")).groupBy("i.pattern", "i.value").agg(F.max((F.col("i.kind") < 4).cast("int")).alias("seed"))
     edges = checkpointed(edges.withColumn("score", F.col("seed").cast("double")))
     for _ in range(ROUNDS):
@@ -114,25 +117,47 @@ def discover_patterns(extracted: DataFrame) -> list[str]:
         best = edges.join(patterns, "pattern").groupBy("value").agg(F.max("p").alias("best"))
         edges = checkpointed(edges.drop("score").join(best, "value").withColumn("score", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("best"))).drop("best"))
     scored = edges.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("p"), F.sum("seed").alias("seeds"))
-    good = scored.where((F.col("p") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS)).orderBy(F.desc("p"), F.desc("seeds"), "pattern").limit(MOST_PATTERNS)
-    return [r["pattern"] for r in good.select("pattern").collect()]
+    return scored.where((F.col("p") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
 
 
-def with_spans(extracted: DataFrame, patterns: list[str]) -> DataFrame:
-    """Adds ``spans``: base ones and what high-scoring patterns mark, as (kind, start, end) in order."""
-    good = F.array(*(F.lit(p) for p in patterns)) if patterns else F.array().cast("array<string>")
-    marked = F.filter("instances", lambda i: (i["kind"] == 4) & F.array_contains(good, i["pattern"]))
+def discover_patterns(extracted: DataFrame) -> list[str]:
+    """The patterns of ``pattern_table``, best first, on the driver: for looking at them, the operators join the table."""
+    return [r["pattern"] for r in pattern_table(extracted).orderBy(F.desc("p"), F.desc("seeds"), "pattern").collect()]
+
+
+def _pattern_sets(extracted: DataFrame) -> tuple[Column, Column]:
+    """The distinct patterns before a row's codes, and a key of them; rows without any get a key that spreads."""
+    held = F.array_sort(F.array_distinct(F.transform(F.filter("instances", lambda i: i["kind"] == 4), lambda i: i["pattern"])))
+    return held, F.when(F.size(held) > 0, F.xxhash64(held)).otherwise(F.xxhash64(*extracted.columns))
+
+
+def with_spans(extracted: DataFrame, patterns: DataFrame | list[str], *, stored: DataFrame | None = None) -> DataFrame:
+    """Adds ``spans``: base ones and what high-scoring patterns mark, as (kind, start, end) in order.
+
+    ``stored`` is an extraction of the same texts that is cheap to read once more.
+    Keys that collide only join their good patterns, which changes no mark.
+    """
+    if isinstance(patterns, list):
+        patterns = extracted.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
+    source = extracted if stored is None else stored
+    held, key = _pattern_sets(source)
+    pairs = source.select(key.alias("_key"), F.explode(held).alias("pattern")).distinct()
+    pairs = checkpointed(pairs.join(maybe_broadcast(patterns.select("pattern"), PATTERN_BYTES, BROADCAST_BYTES), "pattern", "left_semi"))
+    good = pairs.groupBy("_key").agg(F.collect_list("pattern").alias("_good"))
+    good = F.broadcast(good) if small_enough(pairs, PATTERN_BYTES, BROADCAST_BYTES) else good.hint("merge")
+    extracted = extracted.withColumn("_key", _pattern_sets(extracted)[1]).join(good, "_key", "left").drop("_key")
+    marked = F.filter("instances", lambda i: (i["kind"] == 4) & F.coalesce(F.array_contains("_good", i["pattern"]), F.lit(False)))
     more = F.transform(marked, lambda i: F.struct(i["start"].alias("start"), i["kind"].alias("kind"), i["end"].alias("end"))).cast(_SPANS)
     names = F.array(*(F.lit(k) for k in KINDS))
     ordered = F.sort_array(F.concat("base", more))
     named = F.transform(ordered, lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return extracted.withColumn("spans", named).drop("base", "instances")
+    return extracted.withColumn("spans", named).drop("base", "instances", "_good")
 
 
 def find_pii(documents: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per document with all spans."""
     extracted = checkpointed(extract(documents, id_col=id_col, text_col=text_col))
-    return with_spans(extracted, discover_patterns(extracted))
+    return with_spans(extracted, checkpointed(pattern_table(extracted)))
 
 
 def masked(text: Column, spans: Column) -> Column:

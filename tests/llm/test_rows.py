@@ -153,6 +153,18 @@ def test_pii_contexts_and_masks(spark):
     assert [r["m"] for r in rows[5:]] == ["Employee ID: [EMAIL] here", "Employee ID: [CONTEXT] and", "Build ID: X99812", "tel [PHONE], ip [IP]"]
 
 
+@pytest.mark.parametrize("limit", [48 << 20, 0], ids=["broadcast", "shuffled"])
+def test_pii_marks_behind_every_pattern(spark, monkeypatch, limit):
+    """More than 1,000 contexts qualify, each marks its code, by either join; null and repeated ids keep their rows."""
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", limit, raising=False)
+    label = lambda k: "".join(chr(97 + k // 26**d % 26) for d in range(3)) + "id"
+    texts = [" ".join(f"the {label(k)}: u{k}-{j}@x.com;" for j in range(4)) + f" the {label(k)}: QX-{k:05d} end" for k in range(1100)]
+    rows = [*enumerate(texts), (None, texts[3]), (None, texts[4]), (3, texts[3]), (3, "the other: QX-1"), (None, None)]
+    found = [(r["doc_id"], [s["kind"] for s in r["spans"]]) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(k, (["email"] * 4 + ["context"]) if t in texts else []) for k, t in rows]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_tokenizer_is_the_public_one():
     path = public_tokenizers.path("byte_bpe_50k.json")
     rng = random.Random(1)
