@@ -2,6 +2,7 @@
 
 Tokenising cuts a chunk of texts into pre-tokens with array operations, looks
 each distinct pre-token up once through the public tokenizer, and gathers ids.
+Added tokens of its file are cut out first and keep their own ids.
 Each task then packs its own documents online: whole windows of a long document
 go out as they are; the rest is placed at the fill level that minimises the sum
 of squared counts of partly filled windows, which a level array tracks.  What
@@ -99,7 +100,11 @@ class BatchTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added):
+            raise ValueError("added tokens must match as they are: without single_word, lstrip, rstrip and normalized")
+        self.added = sorted((t.content for t in added), key=len, reverse=True)  # the longest at a place wins
+        self.pattern = regex.compile("|".join(map(regex.escape, self.added)))
         self.limit = cache_entries
         self._reset()
 
@@ -125,6 +130,13 @@ class BatchTokenizer:
         self.keys = np.insert(self.keys, where, keys)
         self.number = np.insert(self.number, where, np.arange(base, base + len(keys)))
 
+    def _added_spans(self, text: str, at: np.ndarray) -> np.ndarray:
+        """Starts and ends (two rows) of added tokens; none reaches over the end of a text."""
+        if not any(t in text for t in self.added):
+            return np.zeros((2, 0), np.int64)
+        spans = [m.span() for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for m in self.pattern.finditer(text, b, e)]
+        return np.array(spans, np.int64).reshape(-1, 2).T
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of texts -> all ids, and where each text's ids begin (one more than texts)."""
         if not len(data):
@@ -137,7 +149,11 @@ class BatchTokenizer:
             seen = np.zeros(len(data) + 1, np.int64)
             np.cumsum((data & 0xC0) != 0x80, out=seen[1:])
             at = seen[offsets]
-        begins = pretoken_starts(points, at[:-1])
+        added = self._added_spans(text, at)
+        begins = pretoken_starts(points, np.concatenate([at[:-1], added.ravel()]))
+        if added.size:
+            within = np.searchsorted(added[0], begins, "left") - 1  # the last token that starts before
+            begins = begins[(within < 0) | (begins >= added[1][within])]
         ends = np.append(begins[1:], len(points))
         sums = np.zeros(len(points) + 1, np.uint64)
         up, down = _powers(len(points) + 1)

@@ -180,6 +180,22 @@ def test_tokenizer_is_the_public_one():
         assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_keep_their_ids():
+    """As an unmodified tokenizer gives them: inside, alone, doubled, cut short, and never across two texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(2)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<", "|>", " ", "  ", "\n", "'s", "'", "one", "é", "42", "日本", "👍", "!"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["one<|endoftext|>two", "<|endof", "text|>", "<|endoftext|>" * 300]
+    plain = Tokenizer.from_file(path)
+    assert plain.encode(texts[3000], add_special_tokens=False).ids == [505, 50256, 11545]
+    for cache in (10**6, 50):
+        own, got = BatchTokenizer(path, cache), []
+        for lo, hi, data, offsets in text_chunks(pa.array(texts), 4096):
+            ids, at = own.encode(data, offsets)
+            got += [ids[at[k] : at[k + 1]].tolist() for k in range(hi - lo)]
+        assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = ["some words here " * (k % 300) for k in range(200)] + [None, "", "long " * 9000]
