@@ -32,15 +32,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of near-copies; of rows that repeat an id, one."""
+    """The document of smallest id of each component of near-copies; of rows that repeat an id and its text, the smallest row."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if not repeated.isEmpty():
+        return _drop_near_copies_by_text(docs)
     found = checkpointed(jaccard_components(docs, width=SHINGLE_WORDS, num=4, den=5).select("doc_id", "component_id"))
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(maybe_broadcast(copies, 8), "doc_id", "left_anti").select(*docs.columns)
-    repeated = checkpointed(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    copies = found.where("doc_id <> component_id").select("doc_id")
+    return docs.join(maybe_broadcast(copies, 8), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _drop_near_copies_by_text(docs: DataFrame) -> DataFrame:
+    """The same where ids repeat: each id with each of its texts (by a hash) is numbered and judged for itself."""
+    key = ["doc_id", "_print"]
+    printed = docs.withColumn("_print", F.xxhash64("text"))
+    held = checkpointed(printed.where("doc_id IS NOT NULL").groupBy(*key).count())
+    numbers = checkpointed(held.withColumn("_number", F.monotonically_increasing_id()))
+    numbered = printed.join(numbers.drop("count"), key, "left")
+    found = jaccard_components(numbered, id_col="_number", width=SHINGLE_WORDS, num=4, den=5).select(F.col("doc_id").alias("_number"), "component_id")
+    members = found.where("_number IS NOT NULL").distinct().join(numbers, "_number")
+    kept = checkpointed(members.groupBy("component_id").agg(F.min(F.struct(*key, "count")).alias("first")).select("first.*"))
+    single = printed.join(kept.where("count = 1"), key, "left_semi").select(*docs.columns)
+    several = printed.join(kept.where("count > 1"), key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return docs.where("doc_id IS NULL").unionByName(single).unionByName(several)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,17 @@ def test_near_copies_keep_one(spark):
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()) == ["3", "9", "None"]
 
 
+def test_near_copies_of_repeated_ids(spark):
+    """An id's other text stays when one is a copy, unrelated texts of an id both stay, and the least of equal rows is taken."""
+    one, two, three = "a b c d e f g h", "other words stand here in this text", "nothing that any of the others says"
+    rows = [(3, one, "en", "s", 1), (5, one, "en", "s", 1), (5, two, "en", "s", 1), (6, two, "en", "s", 1), (7, two, "en", "s", 1), (7, three, "fr", "t", 1), (7, three, "en", "t", 1), (8, None, "en", "s", 0), (None, one, "en", "s", 1)]
+    want = [(3, one, "en"), (5, two, "en"), (7, three, "en"), (8, None, "en"), (None, one, "en")]
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        got = corpus_pipeline.drop_near_copies(spark, docs, SMALL).select("doc_id", "text", "lang").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_run_and_registration(spark):
     names = queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
