@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from roisight.llm import ngram_join, substring_dedup
+from roisight.llm import ann, ngram_join, substring_dedup
 from roisight.llm.ann import build_index, search
 from roisight.llm.components import components
 from roisight.llm.ngram_join import jaccard_components
@@ -73,6 +74,50 @@ def test_jaccard_components(spark, monkeypatch, rare, blocks):
     assert jaccard_components(as_table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True], ids=["one block", "many blocks"])
+def test_jaccard_hot_groups(spark, monkeypatch, small):
+    """A group far beyond a block: a chain of edits, copies of one text, a passage that unlike texts share; and few rows are told."""
+    if small:
+        for name, value in (("BLOCK_DOCUMENTS", 20), ("BLOCK_SHINGLES", 2_000), ("HOT_CLASS", 5)):
+            monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(9000)}"
+    base = [word() for _ in range(80)]
+    texts, chain = [], list(base)
+    for k in range(150):
+        copy = list(base)
+        copy[rng.randrange(80)] = word()
+        texts.append(" ".join(copy))
+        chain[(k * 7) % 80] = word()  # each is near the last, few near the first
+        texts += [" ".join(chain)] * (k % 2 + 1)
+        texts.append(" ".join(base[:25] + [word() for _ in range(30)]))
+    rows = [*enumerate(texts)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(as_table(spark, rows)).collect()}
+    assert got == brute_components(rows)[0]
+
+
+def test_jaccard_repeated_id(spark):
+    """All texts of one id link through it."""
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(1, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (9, " ".join(b[:-1])), (12, "else")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(as_table(spark, rows)).collect()}
+    assert got == {1: 1, 5: 1, 9: 1, 12: 12}
+
+
+def test_a_task_tells_a_forest():
+    """However many groups hold the same documents, a task tells at most one edge fewer than documents."""
+    t, rng = ngram_join.Threshold(85, 100), np.random.default_rng(2)
+    tokens = rng.integers(0, 1 << 62, 100).astype(np.uint64)
+    n, groups = 40, 50
+    bits = [ngram_join.parity_bitmap(np.append(tokens, np.uint64(k)), 1).tobytes() for k in range(n)]
+    ids = np.tile(np.arange(n), groups)
+    columns = [np.repeat(np.arange(groups), n), ids * 0, ids * 0, ids, ids, ids * 0 + 101]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(bits * groups)], names=["key", "i", "j", "doc", "comp", "n", "bits"])
+    told = [r for b in ngram_join._likely_edges(t)([batch]) for r in b.to_pylist()]
+    assert len(told) == n - 1
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(a, a + 1) for a in range(40)] + [(rng.randrange(50, 120), rng.randrange(50, 120)) for _ in range(60)] + [(7, 7)]
@@ -110,6 +155,25 @@ def test_substring_dedup(spark, monkeypatch, piece):
     assert remove_repeats(as_table(spark, [])).count() == 0
 
 
+def test_equal_hashes_of_unlike_windows(monkeypatch):
+    """With a main hash of six bits, the other bits still tell windows apart."""
+    whole = substring_dedup.window_hashes
+    monkeypatch.setattr(substring_dedup, "check_hashes", lambda words, width: (whole(words, width) >> np.uint64(8)).astype(np.uint32))
+    monkeypatch.setattr(substring_dedup, "window_hashes", lambda words, width: whole(words, width) & np.uint64(63))
+    rows = [(i, t) for i, t in enumerate(near_copies(7, 4, 6)) if t]
+    found = {}
+    for piece in (10**6, 60):
+        monkeypatch.setattr(substring_dedup, "PIECE_WINDOWS", piece)
+        batches = [pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "tag": pa.array([0] * len(rows), pa.int32()), "text": [t for _, t in rows]})]
+        table = pa.Table.from_batches(list(substring_dedup.entries_by_range(1, 13)(batches)))
+        starts = {}
+        for r in substring_dedup.repeated_starts(table).to_pylist():
+            starts.setdefault(r["doc_id"], set()).update(np.frombuffer(r["starts"], np.uint32).tolist())
+        found[piece] = {i: len({p + k for p in s for k in range(13)}) for i, s in starts.items()}
+    want = {i: gone for i, _, gone, _ in brute_dedup(rows) if gone}
+    assert found[10**6] == want and found[60] == want
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(700, 16)).astype(np.float32)
@@ -138,5 +202,22 @@ def test_nearest(spark):
         assert np.allclose([exact[q][r][1] for r in range(1, 6)], score[best], atol=1e-14)
         hits += len({x[0] for x in relaxed.get(q, {}).values()} & set(best))
     assert hits >= 0.9 * 5 * len(asked)
+    assert len(found(1.0)[105]) == 5
     few = search(build_index(table.where("vec_id < 3")), table.where("vec_id = 0"), 5).collect()
     assert [r["rank"] for r in few] == [1, 2]
+
+
+def test_nearest_in_shards_and_blocks(spark, monkeypatch):
+    """Several lengths, shards and blocks, repeated ids, and columns with the operator's own names."""
+    for name, value in (("SHARD_ROWS", 60), ("BLOCK_QUERIES", 7)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=8 if k % 3 else 5).tolist(), 1, "x") for k in range(300)] + [(7, rng.normal(size=8).tolist(), 2, "y")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int, dim string")
+    got = {}
+    for r in search(build_index(table), table.where("vec_id % 10 = 0"), 4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q, v, *_ in rows[:300:10]:
+        v = np.array(v)
+        far = sorted((-float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w))), k) for k, w, *_ in rows if k != q and len(w) == len(v))
+        assert [k for _, k in sorted(got[q])] == [k for _, k in far[:4]]
