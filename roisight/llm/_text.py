@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text forms a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse mod 2**64
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -36,14 +36,18 @@ _CODES = _byte_codes()
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
-        for key, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; only those for a chunk are kept."""
+    if len(_powers["up"]) >= n:
+        return _powers["up"], _powers["down"]
+    size, made = max(n, CHUNK_BYTES + 4096), {}
+    for key, base in (("up", _BASE), ("down", _BASE_INV)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made[key] = np.cumprod(steps, dtype=np.uint64)
+    if n <= CHUNK_BYTES + 4096:
+        _powers.update(made)
+    return made["up"], made["down"]
 
 
 #: True for bytes that belong to a word when words are split at white space.
@@ -91,11 +95,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: polynomial prefix sums mod 2**64, then a finaliser."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word's bytes: polynomial prefix sums mod 2**64, then a finaliser.
+
+    Words come in order; about ``CHUNK_BYTES`` of them are hashed at once.
+    """
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        low = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, low + CHUNK_BYTES, "right")))
+        piece, s, e = data[low : ends[stop - 1]], starts[at:stop] - low, ends[at:stop] - low
+        up, down = power_tables(len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_CODES[piece] * up[: len(piece)], out=sums[1:])
+        out[at:stop] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        at = stop
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

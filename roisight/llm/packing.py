@@ -5,19 +5,23 @@ each distinct pre-token up once through the public tokenizer, and gathers ids.
 Added tokens of its file are cut out first and keep their own ids.
 Each task then packs its own documents online: whole windows of a long document
 go out as they are; the rest is placed at the fill level that minimises the sum
-of squared counts of partly filled windows, which a level array tracks.  What
-is still open when a task ends is cut anew into full windows and power-of-two
-ones, so no padding is left.  Tasks share nothing: no shuffle, and a lost task
-is repeated from its input alone.
+of squared counts of partly filled windows, which a level array tracks.  When a
+task ends, open windows that fit together are joined, and only the emptiest are
+cut to fill the others up, so no padding is left.  Tasks share nothing: no
+shuffle, and a lost task is repeated from its input alone.
 
 Defined cases: a null or empty text is the end id alone; repeated documents are
 packed each for itself; a null id is kept; an empty table gives no rows; a text
-longer than a window is cut.
+longer than a window is cut, one of any length is encoded in pieces; of levels
+that cost the same the fullest is taken, and an open one before a new one; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import os
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,8 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roisight.llm._store import bounded_batches
-from roisight.llm._text import mix64, ranges, text_chunks
+from roisight.llm._text import CHUNK_BYTES, mix64, power_tables, ranges, text_chunks
 
 WINDOW = 1024
 END_ID = 0
@@ -138,7 +141,20 @@ class BatchTokenizer:
         return np.array(spans, np.int64).reshape(-1, 2).T
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """UTF-8 bytes of texts -> all ids, and where each text's ids begin (one more than texts)."""
+        """UTF-8 bytes of texts -> all ids, and where each text's ids begin (one more than texts).
+
+        A text far longer than a chunk is encoded in pieces.
+        """
+        if len(data) <= 2 * CHUNK_BYTES:
+            return self._encode(data, offsets)
+        ids, at = [], [0]
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            cuts = piece_cuts(data[lo:hi], CHUNK_BYTES)
+            ids += [self._encode(data[lo + a : lo + b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            at.append(at[-1] + sum(map(len, ids[len(ids) - len(cuts) + 1 :])))
+        return np.concatenate(ids), np.array(at)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         text = data.tobytes().decode("utf-8")
@@ -156,7 +172,7 @@ class BatchTokenizer:
             begins = begins[(within < 0) | (begins >= added[1][within])]
         ends = np.append(begins[1:], len(points))
         sums = np.zeros(len(points) + 1, np.uint64)
-        up, down = _powers(len(points) + 1)
+        up, down = power_tables(len(points) + 1)
         np.cumsum(_classes()[1][points] * up[: len(points)], out=sums[1:])
         keys = (sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
         distinct, where, which = np.unique(keys, return_index=True, return_inverse=True)
@@ -179,10 +195,15 @@ class BatchTokenizer:
         return ids, total[np.searchsorted(begins, at)]
 
 
-def _powers(n: int):
-    from roisight.llm import _text
-
-    return _text._power_tables(n)
+def piece_cuts(data: np.ndarray, size: int) -> list[int]:
+    """Where a text may be cut about every ``size`` bytes: at single blanks between visible ASCII, which begin a pre-token and lie in no added token."""
+    blank = np.flatnonzero(data[1:-1] == 0x20) + 1 if len(data) > 2 else np.zeros(0, np.int64)
+    plain = lambda x: (x > 0x20) & (x < 0x7F)
+    blank = blank[plain(data[blank - 1]) & plain(data[blank + 1])]
+    cuts = [0]
+    while len(data) - cuts[-1] > size and (k := int(np.searchsorted(blank, cuts[-1] + size))) < len(blank):
+        cuts.append(int(blank[k]))
+    return [*cuts, len(data)]
 
 
 class SumOfSquares:
@@ -191,6 +212,7 @@ class SumOfSquares:
     def __init__(self, first_sequence: int = 0, window: int = WINDOW):
         self.window, self.next = window, first_sequence
         self.counts = np.zeros(window + 1, np.int64)
+        self.moved = 0  # tokens that left the window they were placed in
         self.open: list[list[list[tuple]]] = [[] for _ in range(window + 1)]
 
     def _sequence(self) -> int:
@@ -210,7 +232,7 @@ class SumOfSquares:
         pieces = self.open[level].pop() if level else []
         if level:
             self.counts[level] -= 1
-        pieces.append((doc, at, ids[at:], total))
+        pieces.append((doc, at, ids[at:].copy(), total))  # not a view that keeps the whole document
         if level + size == self.window:
             yield from self._close(pieces)
         else:
@@ -236,19 +258,52 @@ class SumOfSquares:
             offset += len(ids)
 
     def finish(self) -> Iterator[tuple]:
-        """Cut what is open into full windows, then into powers of two: nothing is padded."""
-        rest = [p for level in reversed(self.open) for pieces in level for p in pieces]
-        self.open, left = [[] for _ in range(self.window + 1)], sum(len(p[2]) for p in rest)
-        room, offset, sequence = 0, 0, 0
-        for doc, start, ids, total in rest:
-            while len(ids):
-                if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                    offset, sequence = 0, self._sequence()
-                part = ids[:room]
-                yield doc, start, part, total, sequence, offset
-                start, ids = start + len(part), ids[len(part) :]
-                room, offset, left = room - len(part), offset + len(part), left - len(part)
+        """Close what is open, with what was placed together kept together.
+
+        Windows that fit into one are joined, the fullest with the fullest that
+        fits.  Then the emptiest are cut to fill up the fullest; what is left in the
+        end goes into powers of two, so nothing is padded.
+        """
+        levels = [level for level, held in enumerate(self.open) for _ in held]
+        held = [pieces for one in self.open for pieces in one]
+        self.open = [[] for _ in range(self.window + 1)]
+        self.counts[:] = 0
+        joined: deque[tuple[int, list[tuple]]] = deque()
+        while levels:
+            level, pieces = levels.pop(), held.pop()
+            while (k := bisect_right(levels, self.window - level) - 1) >= 0:
+                level += levels.pop(k)
+                pieces = pieces + held.pop(k)
+            joined.append((level, pieces))
+        joined = deque(sorted(joined, key=lambda x: -x[0]))
+        while joined:
+            level, pieces = joined.popleft()
+            while level < self.window and joined:
+                size, donor = joined.pop()
+                given, kept = _taken(donor, self.window - level)
+                pieces, level, size = pieces + given, level + sum(len(p[2]) for p in given), sum(len(p[2]) for p in kept)
+                self.moved += sum(len(p[2]) for p in given)
+                if kept:
+                    joined.append((size, kept))
+            while level < self.window and level & (level - 1):
+                part = 1 << (level.bit_length() - 1)
+                given, pieces = _taken(pieces, part)
+                level -= part
+                yield from self._close(given)
+            yield from self._close(pieces)
+
+
+def _taken(pieces: list[tuple], size: int) -> tuple[list[tuple], list[tuple]]:
+    """The first ``size`` tokens of pieces, and the rest."""
+    given, at = [], 0
+    while at < len(pieces) and size:
+        doc, start, ids, total = pieces[at]
+        if len(ids) > size:
+            return [*given, (doc, start, ids[:size], total)], [(doc, start + size, ids[size:], total), *pieces[at + 1 :]]
+        given.append(pieces[at])
+        size -= len(ids)
+        at += 1
+    return given, pieces[at:]
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -289,4 +344,4 @@ def pack(documents: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col
         if rows:
             yield _batch(rows)
 
-    return bounded_batches(documents).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return documents.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
