@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -70,7 +71,7 @@ def test_chat_round_trip(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "system", "<s>x", None]), "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) or None) for c in range(60) for t in range(rng.randint(1, 5))]
     rows += [(99, 1, "assistant", "same"), (99, 1, "assistant", "same"), (None, 0, "user", "no id"), (100, 0, "assistant", "x" * 200_000)]
     out = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = {r["conv_id"]: r for r in out.select("*", turns_text("turns").alias("all"), learned_text("turns").alias("learned")).collect()}
+    got = {r["conv_id"]: r for r in out.select("*", turns_text("turns").alias("all"), learned_text("formatted", "loss_mask").alias("learned")).collect()}
     for conv in {r[0] for r in rows}:
         turns = sorted((t, r or "", x or "") for c, t, r, x in rows if c == conv)
         g = got[conv]
@@ -78,6 +79,14 @@ def test_chat_round_trip(spark):
         assert g["all"] == "".join(f"{r}\n{x}\n" for _, r, x in turns) and g["learned"] == "".join(x for _, r, x in turns if r == "assistant")
         assert sum(m["skip"] + m["learn"] + m["skip_after"] for m in g["loss_mask"]) == len(g["formatted"])
     assert format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    more = spark.createDataFrame([(1, 0, "user", "a", "x", 5), (1, 1, "assistant", "</s>b", "x", 5)], "conv_id long, turn long, role string, text string, formatted string, source int")
+    formatted = format_conversations(more)
+    assert formatted.select(learned_text("formatted", "loss_mask")).first()[0] == "</s>b"
+    # the mask decides: one that learns the other turn gives its text, one that is too short is refused
+    other = F.transform("loss_mask", lambda m: F.struct((m["skip"] + m["learn"] - F.when(m["learn"] == 0, 1).otherwise(0)).alias("skip"), F.when(m["learn"] == 0, 1).otherwise(0).alias("learn"), m["skip_after"].alias("skip_after")))
+    assert formatted.withColumn("loss_mask", other).select(learned_text("formatted", "loss_mask")).first()[0] == "a"
+    with pytest.raises(Exception, match="loss mask"):
+        formatted.withColumn("loss_mask", F.slice("loss_mask", 1, 1)).select(learned_text("formatted", "loss_mask")).first()
 
 
 def brute_spans(kinds, text):
@@ -136,21 +145,83 @@ PII = [
 def test_pii(spark):
     rng = random.Random(5)
     parts = ["a@b.c", "x", "@", ".", "-", "+1", " ", "(555)", "12", "4111111111111111", "256.1.1.1", "1.2.3.4.5", "+44 20 7946 0958", "é", "a.b@c-d.e_f@g.h", "%", "0", "4111 1111-1111 1111", "\n", "00000001.2.3.4"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(600)] + ODD + ["1" * 60_000, "1-" * 30_000 + "1", "a@b" + ".c" * 20_000]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(600)] + ODD + ["1" * 3_000, "1-" * 2_000 + "1", "a@b" + ".c" * 20_000, "4111111111111111, " * 3_000]
     found = pii.find_pii(documents(spark, texts)).select("doc_id", *span_digests("spans", ["email", "ip", "card", "phone"]))
     rows = {r["doc_id"]: r for r in found.collect()}
     for k, t in enumerate(texts):
-        want = brute_spans(PII, t if len(t or "") < 40_000 or "@" in t else "")
+        want = brute_spans(PII, t)
         assert rows[k]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), t
 
 
 def test_pii_contexts_and_masks(spark):
-    texts = [f"Employee ID: p{k}@x.com here" for k in range(6)] + ["Employee ID: EMP-88231 and", "Build ID: X99812", "tel +1 (555) 555-0100, ip 1.2.3.4"]
+    texts = [f"Employee ID: p{k}@x.com here" for k in range(6)] + ["Employee ID: EMP-88231 and", "Build tag: X99812", "tel +1 (555) 555-0100, ip 1.2.3.4"]
     extracted = pii.extract(documents(spark, texts), keep=["text"])
-    patterns = pii.discover_patterns(extracted)
-    assert patterns == ["employee id:"]
-    rows = pii.with_spans(extracted, patterns).select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("m")).orderBy("doc_id").collect()
-    assert [r["m"] for r in rows[5:]] == ["Employee ID: [EMAIL] here", "Employee ID: [CONTEXT] and", "Build ID: X99812", "tel [PHONE], ip [IP]"]
+    rows = pii.with_spans(extracted, pii.pattern_table(extracted)).select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("m")).orderBy("doc_id").collect()
+    assert [r["m"] for r in rows[5:]] == ["Employee ID: [EMAIL] here", "Employee ID: [CONTEXT] and", "Build tag: X99812", "tel [PHONE], ip [IP]"]
+
+
+def test_pii_plain_words_and_rounds(spark):
+    """Contexts of plain words on either side; what one round finds carries a pattern in the next; what fails a check is never marked."""
+    rng = random.Random(4)
+    filler = lambda: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(4))
+    texts, planted = [], []
+
+    def add(text, value=None, is_private=False):
+        texts.append(text)
+        if value:
+            planted.append((len(texts) - 1, text.index(value), is_private))
+
+    for k in range(30):
+        add(f"{filler()} reach me at u{k}@x.com {filler()}")
+        add(f"{filler()} 10.0.{k}.7 was her address {filler()}")
+        add(f"{filler()} {(v := f'nick-{k:05d}')} was her address {filler()}", v, True) if k < 6 else None  # one round
+        add(f"{filler()} reach me at {(v := f'handle{k:04d}')} badge holder {filler()}", v, True) if k < 6 else None  # one round
+        add(f"{filler()} {(v := f'ZX{k + 70_000}')} badge holder {filler()}", v, True) if k < 1 else None  # only by the last ones
+        add(f"{filler()} version {(v := f'build{k:05d}')} {filler()}", v)
+        add(f"{filler()} reach me at {(v := '4111111111111112')} {filler()}", v) if k < 2 else None  # fails the check
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(documents(spark, texts)).collect()}
+    for doc, start, is_private in planted:
+        assert (start in [s["start"] for s in rows[doc] if s["kind"] == "context"]) == is_private, texts[doc]
+
+
+def test_pii_left_out_seeds(spark):
+    """Values that the expressions do not know, in the contexts of known ones: nearly all are found, nothing else is."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    cues = [f"{word()} {word()}" for _ in range(40)]
+    texts, private = [], set()
+    for k in range(1500):
+        kind = rng.randrange(10)
+        value = f"person{k}@x.com" if kind < 9 else f"QQ{k:06d}"
+        texts.append(f"{word()} {word()} {rng.choice(cues)} {value} {word()}")
+        (private if kind == 9 else set()).add(k)
+        texts[-1] += f" {word()} {word()} N{k:07d}"
+    found = [(r["doc_id"], texts[r["doc_id"]][s["start"] : s["end"]]) for r in pii.find_pii(documents(spark, texts)).collect() for s in r["spans"] if s["kind"] == "context"]
+    right = [k for k, v in found if v.startswith("QQ") and k in private]
+    assert len(right) >= 0.8 * len(private) and len(right) >= 0.95 * len(found)
+
+
+def test_masks(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 7, 200):
+        text = "".join(rng.choice("ab é👍") for _ in range(900))
+        spans = sorted((a, rng.randrange(4), min(900, a + rng.randint(1, 12))) for a in (rng.randrange(890) for _ in range(n)))
+        want, at = [], 0
+        for a, k, b in spans:
+            if a >= at:
+                want += [text[at:a], f"[{pii.KINDS[k].upper()}]"]
+            at = max(at, b)
+        row = spark.createDataFrame([(text, [(pii.KINDS[k], a, b) for a, k, b in spans])], "text string, spans array<struct<kind:string,start:long,end:long>>")
+        assert row.select(pii.masked(F.col("text"), F.col("spans")).alias("m")).first()["m"] == "".join(want) + text[at:]
+
+
+def test_pii_long_texts(spark):
+    """A hundred thousand matches in one text take seconds."""
+    texts = [" ".join(f"ab{k:06d}x" for k in range(100_000)), " ".join(f"u{k}@x.com" for k in range(100_000)), "1" * 200_000, "x" * 500_000 + "1"]
+    begun = time.time()
+    rows = {r["doc_id"]: r for r in pii.find_pii(documents(spark, texts)).select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).where("n > 0").collect()}
+    assert set(rows) == {1} and rows[1]["n"] == 100_000 and texts[1][rows[1]["last"]["start"] :] == "u99999@x.com"
+    assert time.time() - begun < 120
 
 
 @pytest.mark.parametrize("limit", [48 << 20, 0], ids=["broadcast", "shuffled"])
@@ -300,7 +371,7 @@ def test_quality(spark):
     docs = documents(spark, [*texts, *ODD])
     described = quality.describe(docs)
     known = spark.createDataFrame(labels, "doc_id long, quality int")
-    model = quality.fit(described, known, keep=toxicity.fold("doc_id", 4) != 2)
+    model = quality.fit(docs, known, keep=toxicity.fold("doc_id", 4) != 2)
     assert 0 < len(model.rules) < 60
     rows = {r["doc_id"]: r["score"] for r in described.select("doc_id", quality.compile_rules(model).alias("score")).collect()}
     held = [((rows[k] >= 0.7), y == 1) for k, y in labels if zlib.crc32(str(k).encode()) % 4 == 2]
