@@ -4,7 +4,7 @@ A window is ``width`` consecutive words of one document.  A word goes if a
 window covers it whose word sequence also starts in a document with a smaller
 id; windows are judged on the input.
 
-1. A task hashes all windows of its documents (64 bits).  Of windows repeated
+1. A task hashes all windows of its documents.  Of windows repeated
    within the task only those of the smallest id travel on; the others are
    decided there, so a passage that a third of all documents hold is one entry
    for each task, not for each document.
@@ -13,12 +13,14 @@ id; windows are judged on the input.
 3. Window starts come together for each document and merge into maximal
    removal intervals, which are joined to the text.
 
-Window equality is equality of 64-bit hashes: with n windows about n*n/2**65
-pairs of different ones are taken as equal (3e-4 for 1e8 windows, 2 for 1e10).
+Window equality is equality of a 64-bit hash and of a 32-bit one with another
+base, 96 bits together: with n windows about n*n/2**97 pairs of different ones are
+taken as equal (6e-4 for the 1e13 windows of 100 TB).
 
 Defined cases: a null or empty text has no words; a null id neither removes nor
 loses words; rows that repeat an id do not remove each other's words; a text
-shorter than a window stays whole.
+shorter than a window stays whole, one of any length is cut into windows whole;
+an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roisight.llm._store import bounded_batches, checkpointed, maybe_broadcast
-from roisight.llm._text import NON_SPACE, ranges, text_chunks, window_hashes, word_hashes, word_spans
+from roisight.llm._store import checkpointed, maybe_broadcast
+from roisight.llm._text import NON_SPACE, mix64, ranges, text_chunks, window_hashes, word_hashes, word_spans
 
 WIDTH = 13
 #: Windows that a task sorts at once, and most windows in a range of hashes.
-PIECE_WINDOWS = 3_000_000
-RANGE_WINDOWS = 8_000_000
+PIECE_WINDOWS = 2_000_000
+RANGE_WINDOWS = 4_000_000
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -58,9 +60,21 @@ def from_deltas(raw: bytes, dtype) -> np.ndarray:
     return np.cumsum(from_planes(raw, dtype), dtype=dtype)
 
 
-def smallest(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each entry of sorted hashes, the smallest id among entries of the same hash."""
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+def check_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """32 more bits for each window, from a polynomial in other numbers of its words."""
+    return (window_hashes(mix64(words ^ np.uint64(0x6A09E667F3BCC909)), width) >> np.uint64(32)).astype(np.uint32)
+
+
+def sorted_order(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The stable order by hash and check; checks are looked at only where one hash has several."""
+    order = np.argsort(hashes, kind="stable")
+    h, c = hashes[order], checks[order]
+    return np.lexsort((checks, hashes)) if ((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any() else order
+
+
+def smallest(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each of sorted entries, the smallest id among those of the same hash and check."""
+    first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])]))
     return np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(hashes))))
 
 
@@ -72,27 +86,27 @@ def merge_starts(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def entries_by_range(part_count: int, width: int):
-    """Rows (part, local, hashes, numbers, ids, tags, firsts) for batches of (id, tag, text)."""
+    """Rows (part, local, hashes, numbers, ids, tags, firsts, checks) for batches of (id, tag, text)."""
 
     def emit(kept: list[tuple], piece: int) -> Iterator[dict]:
-        hashes, counts, ids, tags = (np.concatenate(x) for x in zip(*kept, strict=True))
+        hashes, checks, counts, ids, tags = (np.concatenate(x) for x in zip(*kept, strict=True))
         firsts = np.cumsum(counts) - counts
-        order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
+        order = sorted_order(hashes, checks)
+        hashes, checks = hashes[order], checks[order]
         owner = np.repeat(np.arange(len(ids)), counts)[order]
-        gone = ids[owner] > smallest(hashes, ids[owner])
+        gone = ids[owner] > smallest(hashes, checks, ids[owner])
         if gone.any():
             at = np.sort(order[gone])
             who = np.searchsorted(firsts + counts, at, "right")
             held, number = np.unique(who, return_counts=True)
             yield {"part": piece % part_count, "local": True, "hashes": deltas((at - firsts[who]).astype(np.uint32)), "numbers": planes(number.astype(np.uint32)),
-                   "ids": deltas(ids[held]), "tags": planes(tags[held]), "firsts": b""}
-        hashes, order, owner = hashes[~gone], order[~gone], owner[~gone]
+                   "ids": deltas(ids[held]), "tags": planes(tags[held]), "firsts": b"", "checks": b""}
+        hashes, checks, order, owner = hashes[~gone], checks[~gone], order[~gone], owner[~gone]
         part = ((hashes >> np.uint64(32)) * np.uint64(part_count)) >> np.uint64(32)
         for p, lo, hi in _slices(part):
             held = np.unique(owner[lo:hi])
             yield {"part": int(p), "local": False, "hashes": deltas(hashes[lo:hi]), "numbers": planes(order[lo:hi].astype(np.uint32)),
-                   "ids": deltas(ids[held]), "tags": planes(tags[held]), "firsts": deltas(firsts[held].astype(np.uint32))}
+                   "ids": deltas(ids[held]), "tags": planes(tags[held]), "firsts": deltas(firsts[held].astype(np.uint32)), "checks": planes(checks[lo:hi])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size, piece = [], 0, 0
@@ -103,12 +117,13 @@ def entries_by_range(part_count: int, width: int):
                 starts, ends, first = word_spans(data, offsets, NON_SPACE)
                 if not len(starts):
                     continue
-                all_hashes = window_hashes(word_hashes(data, starts, ends), width)
+                words = word_hashes(data, starts, ends)
+                all_hashes, all_checks = window_hashes(words, width), check_hashes(words, width)
                 counts = np.maximum(np.diff(first) - width + 1, 0)
                 own = np.repeat(first[:-1], counts) + ranges(counts)
                 some = counts > 0
                 if some.any():
-                    kept.append((all_hashes[own], counts[some], ids[lo:hi][some].astype(np.int64), tags[lo:hi][some].astype(np.int32)))
+                    kept.append((all_hashes[own], all_checks[own], counts[some], ids[lo:hi][some].astype(np.int64), tags[lo:hi][some].astype(np.int32)))
                     size += len(own)
                 if size >= PIECE_WINDOWS:
                     yield pa.RecordBatch.from_pylist(list(emit(kept, piece)), schema=_ENTRIES)
@@ -125,8 +140,8 @@ def _slices(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield from zip(sorted_values[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_values)).tolist(), strict=True)
 
 
-ENTRIES = "part int, local boolean, hashes binary, numbers binary, ids binary, tags binary, firsts binary"
-_ENTRIES = pa.schema([("part", pa.int32()), ("local", pa.bool_()), *((n, pa.binary()) for n in ("hashes", "numbers", "ids", "tags", "firsts"))])
+ENTRIES = "part int, local boolean, hashes binary, numbers binary, ids binary, tags binary, firsts binary, checks binary"
+_ENTRIES = pa.schema([("part", pa.int32()), ("local", pa.bool_()), *((n, pa.binary()) for n in ("hashes", "numbers", "ids", "tags", "firsts", "checks"))])
 STARTS = "doc_id long, tag int, starts binary"
 _STARTS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("starts", pa.binary())])
 
@@ -134,7 +149,7 @@ _STARTS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("starts", pa.
 def repeated_starts(table: pa.Table) -> pa.Table:
     """Window starts to remove, by document, from all blocks of one range of hashes."""
     out_ids, out_tags, out_starts = [], [], []
-    hashes, ids, tags, at = [], [], [], []
+    hashes, checks, ids, tags, at = [], [], [], [], []
     for row in table.to_pylist():
         own, mark = from_deltas(row["ids"], np.int64), from_planes(row["tags"], np.int32)
         if row["local"]:
@@ -146,12 +161,12 @@ def repeated_starts(table: pa.Table) -> pa.Table:
             continue
         number, first = from_planes(row["numbers"], np.uint32), from_deltas(row["firsts"], np.uint32)
         who = np.searchsorted(first, number, "right") - 1
-        hashes.append(from_deltas(row["hashes"], np.uint64))
+        hashes.append(from_deltas(row["hashes"], np.uint64)), checks.append(from_planes(row["checks"], np.uint32))
         ids.append(own[who]), tags.append(mark[who]), at.append(number - first[who])
     if hashes:
-        h, i, t, a = (np.concatenate(x) for x in (hashes, ids, tags, at))
-        order = np.argsort(h, kind="stable")
-        gone = order[i[order] > smallest(h[order], i[order])]
+        h, c, i, t, a = (np.concatenate(x) for x in (hashes, checks, ids, tags, at))
+        order = sorted_order(h, c)
+        gone = order[i[order] > smallest(h[order], c[order], i[order])]
         i, t, a = i[gone], t[gone], a[gone]
         order = np.lexsort((a, t, i))
         i, t, a = i[order], t[order], a[order].astype(np.uint32)
@@ -194,7 +209,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(documents: DataFrame, *, id_col="doc_id", text_col="text", width: int = WIDTH) -> DataFrame:
     """One row per document: words, removed words, kept words joined by a blank, removed word intervals."""
-    docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tag = F.hash("text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     windows = size / 6
