@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one serves only where none is set."""
+    """The cluster's checkpoint folder.  Only a local master, which has one machine, may do without and take a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.nonEmpty() else tempfile.mkdtemp(prefix="checkpoint")
+        if held.nonEmpty():
+            folder = held.get()
+        elif re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            folder = tempfile.mkdtemp(prefix="checkpoint")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
 
 
@@ -23,18 +29,6 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Most rows in an Arrow batch of texts: texts are long, and batches stay in memory on both sides.
-BATCH_ROWS = 1_000
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """Lowers the session's rows for each Arrow batch to ``BATCH_ROWS``, if they are more."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, written to the cluster's checkpoint folder; a local folder serves only where none is set."""
     spark = df.sparkSession

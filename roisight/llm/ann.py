@@ -11,10 +11,12 @@ Queries travel to the shards in blocks, so a task holds one shard and one block.
 Scores are recomputed in double precision from the original vectors, in an order
 that gives equal vectors equal scores; ties go to the smaller id.
 
-Defined cases: rows with a null id, a null, zero or non-finite vector, or one of
-another than the most frequent length take no part; rows that repeat an id are
-candidates each, but never of a query with that id; of repeated query ids the
-smallest vector counts; with fewer than k candidates all are returned.
+Defined cases: rows with a null id or a null, zero or non-finite vector take no
+part; vectors are compared with those of their own length, which have a cosine;
+rows that repeat an id are candidates each, but never of a query with that id; of
+repeated query ids the smallest vector counts; equal scores go by id; with fewer
+than k candidates all are returned; an empty table gives no rows; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roisight.llm._store import maybe_broadcast
+
 #: Most vectors in a shard, fewest worth a shard of their own, shards wanted for small tables.
 SHARD_ROWS, LEAST_ROWS, SHARDS = 100_000, 2_000, 24
 #: Queries in a block.
@@ -40,9 +44,7 @@ SLACK = 1e-7
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
-    length = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return good.where(F.size("v") == (length[0][0] if length else 0))
+    return v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -146,26 +148,30 @@ def chord(cosine: np.ndarray) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding") -> DataFrame:
-    """One row per shard: its number and its tree.  Every usable row is in one."""
+    """One row per length and shard: its tree.  Every usable row is in one."""
     good = usable(vectors, id_col, vector_col)
-    n = good.count()
-    shards = max(1, math.ceil(n / SHARD_ROWS), min(SHARDS, n // LEAST_ROWS))
+    sizes = good.groupBy("dim").agg(F.count("*").alias("n"))  # a row for each length of vectors
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("n") / SHARD_ROWS), F.least(F.lit(SHARDS), F.floor(F.col("n") / LEAST_ROWS))).alias("shards")
 
     def build(table: pa.Table) -> pa.Table:
         tree = VantageTree(table.column("vec_id").to_numpy(), matrix(table.column("v")))
-        return pa.table({"shard": table.column("shard")[:1].cast(pa.int32()), "tree": pa.array([pickle.dumps(tree, protocol=5)], pa.binary())})
+        return pa.table({"dim": table.column("dim")[:1].cast(pa.int32()), "shard": table.column("shard")[:1].cast(pa.int32()), "tree": pa.array([pickle.dumps(tree, protocol=5)], pa.binary())})
 
-    return good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, "shard int, tree binary")
+    dealt = good.join(maybe_broadcast(sizes.select("dim", wanted), 16), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).drop("shards")
+    return dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, *, id_col="vec_id", vector_col="embedding") -> DataFrame:
-    """Each query's k nearest rows of the index: query_id, rank, vec_id, score."""
-    q = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
+    """Each query's k nearest rows of the index: query_id, rank, vec_id, score.
+
+    A query meets every shard of its length, once: with factor one any shard may hold
+    a neighbour.
+    """
+    q = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     blocks = max(1, math.ceil(q.count() / BLOCK_QUERIES))
-    shards = [r[0] for r in index.select("shard").distinct().collect()]
-    left = index.withColumn("block", F.explode(F.array(*(F.lit(b) for b in range(blocks)))))
-    right = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    right = right.withColumn("shard", F.explode(F.array(*(F.lit(s) for s in shards)).cast("array<int>")))
+    shards = maybe_broadcast(index.select(F.col("dim").alias("of"), F.col("shard").alias("to")), 16)
+    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(shards, F.col("dim") == F.col("of")).select("vec_id", "v", "dim", F.col("to").alias("shard"), "block")
 
     def find(trees: pa.Table, asked: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -177,6 +183,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0
         some = np.isfinite(scores)
         return pa.table([pa.array(np.repeat(ids, k)[some.ravel()]), pa.array(found[some]), pa.array(scores[some])], names=names)
 
-    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(find, "query_id long, vec_id long, score double")
+    on = ["dim", "shard", "block"]
+    near = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(find, "query_id long, vec_id long, score double")
     best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

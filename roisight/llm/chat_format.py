@@ -14,8 +14,10 @@ then characters to learn (the text of assistant turns), then to skip.
 
 Turns are ordered by turn, then role, then text; nulls first.  A null role or
 text counts as empty, a null conversation id as a conversation of its own;
-repeated rows are repeated turns; an empty table gives no rows.  One row holds a
-whole conversation, since its digest and its rendered text are single values.
+repeated rows are repeated turns; an empty table gives no rows; texts of any
+length are kept whole; other columns are not read, whatever their names.  One row
+holds a whole conversation, since its digest and its rendered text are single
+values.
 """
 
 from __future__ import annotations
@@ -85,6 +87,15 @@ def turns_text(turns: str) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
 
 
-def learned_text(turns: str) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == LEARNED_ROLE), lambda t: t["text"]), "")
+def learned_text(formatted: str, loss_mask: str) -> Column:
+    """All text under the loss mask, unescaped: cut out of the rendered text by the mask's counts.
+
+    Each entry covers the characters up to and with its closing string; a mask
+    that covers more or fewer is an error.
+    """
+    pieces = F.split(formatted, CLOSE, -1)
+    size = F.col(loss_mask)["skip"], F.col(loss_mask)["learn"], F.col(loss_mask)["skip_after"]
+    covered = F.aggregate(F.zip_with(F.zip_with(size[0], size[1], lambda a, b: a + b), size[2], lambda a, b: a + b), F.lit(0), lambda a, b: a + b)
+    rows = F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), loss_mask, lambda piece, m: F.when(F.char_length(piece) + len(CLOSE) == m["skip"] + m["learn"] + m["skip_after"], unescape(F.substring(piece, m["skip"] + 1, m["learn"]))))
+    wrong = F.raise_error(F.lit("the loss mask does not cover the rendered text")).cast("string")
+    return F.when((covered == F.char_length(formatted)) & ~F.exists(rows, lambda x: x.isNull()), F.array_join(rows, "")).otherwise(wrong)

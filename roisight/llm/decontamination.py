@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roisight.llm._store import bounded_batches
 
 #: Consecutive words in a window.
 WIDTH = 13
@@ -91,8 +90,15 @@ def _spans(text: str, hit: list[tuple[int, int]]) -> list[dict[str, int]]:
     """Character offsets of word ranges; normalising keeps byte positions."""
     raw = text.encode("utf-8", "surrogatepass")
     words = [m.span() for m in _WORD.finditer(raw.translate(_NORMAL))]
-    at = lambda byte: len(raw[:byte].decode("utf-8", "surrogatepass"))
-    return [{"start": at(words[a][0]), "end": at(words[b - 1][1])} for a, b in hit]
+    out, byte, chars = [], 0, 0
+    for a, b in hit:  # in order, so each byte is decoded once
+        ends = []
+        for to in (words[a][0], words[b - 1][1]):
+            chars += len(raw[byte:to].decode("utf-8", "surrogatepass"))
+            byte = to
+            ends.append(chars)
+        out.append({"start": ends[0], "end": ends[1]})
+    return out
 
 
 def _row(doc, text, n_words: int, hit: list[tuple[int, int]], items: set[str]) -> dict:
@@ -129,7 +135,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id"
 
     With ``carry`` the input row comes along in a column ``row``.
     """
-    spark = bounded_batches(documents).sparkSession
+    spark = documents.sparkSession
     items = benchmark.select(item_col, item_text_col).where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
     # rows stream to the driver; an automaton is shipped for each bounded shard
     groups = shards(((r[0], r[1]) for r in items.toLocalIterator()), shard_words)

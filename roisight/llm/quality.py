@@ -6,9 +6,12 @@ few of the rules; these compile into one Spark column expression.
 
 Fitting uses at most ``TRAIN_ROWS`` labelled rows, those of smallest id hash, on
 the driver (a dozen numbers each).  Statistics and scores cover all rows and
-whole texts.  Defined cases: a null or empty text has zero statistics; without
-labels every score is 0; with one class only, its label; repeated rows are
-scored each; labels that repeat an id count once, the larger one.
+whole texts, of any length.  Defined cases: a null or empty text has zero
+statistics; an empty table gives no rows; without labels every score is 0; with
+one class only, its label; repeated rows are scored each; rows that repeat an id
+train by their least statistics; labels that repeat an id count once, the larger
+one; of cuts of equal gain the first statistic's smallest is taken; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roisight.llm._store import bounded_batches
 from roisight.llm._text import LOWER, NON_SPACE, text_chunks, word_hashes, word_spans
 from roisight.llm.toxicity import training_labels
 
@@ -104,7 +106,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(documents: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """The statistics of every document."""
-    rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_describe, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
@@ -177,11 +179,13 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps
     return w[:-1], float(w[-1])
 
 
-def fit(described: DataFrame, labels: DataFrame, *, keep: Column, label="quality", id_col="doc_id", train_rows: int = TRAIN_ROWS) -> RuleModel:
-    """Rules and weights from training rows (where ``keep`` holds)."""
-    spark = described.sparkSession
+def fit(documents: DataFrame, labels: DataFrame, *, keep: Column, label="quality", id_col="doc_id", text_col="text", train_rows: int = TRAIN_ROWS) -> RuleModel:
+    """Rules and weights from training rows (where ``keep`` holds); only their texts are described."""
+    spark = documents.sparkSession
     known = spark.createDataFrame([(r[0], r[1]) for r in training_labels(labels, label, keep, train_rows, id_col).collect()], "doc_id long, label int")
-    rows = described.join(F.broadcast(known), "doc_id").limit(2 * train_rows).collect()
+    own = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    one = describe(own).groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("x"))
+    rows = one.join(F.broadcast(known), "doc_id").orderBy("doc_id").select("x.*", "label").collect()
     if not rows:
         return RuleModel([], -30.0)
     x = np.array([[r[s] for s in STATISTICS] for r in rows])

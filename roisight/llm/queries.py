@@ -52,13 +52,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
-    out = format_conversations(table.unionByName(more))
+    out = format_conversations(table.unionByName(more)).withColumn("learned", learned_text("formatted", "loss_mask"))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(turns_text("turns"), 256).alias("turns_sha256"),
-        F.char_length(learned_text("turns")).cast("long").alias("loss_chars"),
-        F.sha2(learned_text("turns"), 256).alias("loss_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
 
@@ -80,10 +80,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    described = quality.describe(_table(spark, sf_dir, "documents"))
-    model = quality.fit(described, _table(spark, sf_dir, "labels"), keep=toxicity.fold("doc_id", 4) != 2)
+    documents = _table(spark, sf_dir, "documents")
+    model = quality.fit(documents, _table(spark, sf_dir, "labels"), keep=toxicity.fold("doc_id", 4) != 2)
     score = quality.compile_rules(model)
-    scored = described.select("doc_id", (toxicity.fold("doc_id", 4) == 2).alias("held_out"), score.alias("score"))
+    scored = quality.describe(documents).select("doc_id", (toxicity.fold("doc_id", 4) == 2).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 

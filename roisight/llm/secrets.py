@@ -8,7 +8,9 @@ matches that validate.  Matches of one kind are leftmost and do not overlap.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start,
 then by kind as listed in ``KINDS``.  Defined cases: a null or empty text has no
-spans; repeated rows give a row each; a null id is kept.
+spans; an empty table gives no rows; repeated rows give a row each; a null id is
+kept; equal starts go by kind; a text of any length is scanned whole, in time that
+grows with its length; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roisight.llm._store import bounded_batches
 
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -65,10 +66,10 @@ KINDS = (
     Kind("access", ("akia",), re.compile(rb"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
     Kind("hex", (), re.compile(rb"[0-9a-f]{16,}"), lambda m: True),
     Kind("hosting", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), re.compile(rb"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: crc_suffix_valid(m[0])),
-    Kind("jwt", ("eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), lambda m: json_header_valid(m[0])),
+    Kind("jwt", ("eyj",), re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"), lambda m: json_header_valid(m[0])),
     Kind("chat", ("xoxb-", "xoxp-", "xoxa-"), re.compile(rb"xox[bpa]-[0-9]{8,}-[A-Za-z0-9-]{16,}"), lambda m: True),
     Kind("payment", ("sk_live_", "rk_live_"), re.compile(rb"[sr]k_live_[A-Za-z0-9]{16,}"), lambda m: True),
-    Kind("private_key", ("-----begin ",), re.compile(rb"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----"), lambda m: True),
+    Kind("private_key", ("-----begin ",), re.compile(rb"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----"), lambda m: True),
 )
 
 
@@ -127,4 +128,4 @@ def scan_secrets(documents: DataFrame, *, id_col="doc_id", text_col="text") -> D
             spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_spans(t.as_py() or b"", machine)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _OUT.field(1).type)], schema=_OUT)
 
-    return bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)

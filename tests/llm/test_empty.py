@@ -30,7 +30,7 @@ def test_documents(spark, rows):
     model = toxicity.fit(docs, labels, keep=F.lit(True))
     assert all(r["score"] < 0.01 for r in toxicity.score(docs, model).collect())
     described = quality.describe(docs)
-    rules = quality.fit(described, labels, keep=F.lit(True))
+    rules = quality.fit(docs, labels, keep=F.lit(True))
     assert all(r["p"] < 0.01 for r in described.select(quality.compile_rules(rules).alias("p")).collect())
 
 
