@@ -127,6 +127,10 @@ def extract_features(voxels: DataFrame, images: DataFrame, *, features=(), label
         warnings.warn(f"labels without voxels are left out: {[(r['image_id'], r['label']) for r in missing]} ...", stacklevel=2)
     if bin_width is not None and (few := roi.few_bins(work.rois, float(bin_width)).limit(1).collect()):
         warnings.warn(f"bin_width {bin_width} gives fewer than 3 bins, as in image {few[0]['image_id']}", stacklevel=2)
+    if verbose and keep_largest_only and options.families and {"shape2d", "shape3d"} & {*options.families}:
+        labelled = connectivity.label_components(work.rois.select(*KEY, *"xyz"), options.roi_ndim, same_level=False)
+        for r in connectivity.island_sizes(labelled).limit(5).collect():
+            warnings.warn(f"image {r['image_id']}, label {r['label']}: {r['islands']} islands, the largest of {r['sizes']} voxels", stacklevel=2)
     if get_raw_matrices:
         raw = {f: work.matrix(f) for f in options.families if f in ("glcm", "glrlm", "glszm", "gldm", "ngtdm")}
         return raw | {f: work.family(f) for f in options.families if f not in raw}

@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from roisight.api import extract_features
-from roisight.sinks import FORMATS, write_features
+from roisight.sinks import FORMATS, diagnostics_report, write_features
 from roisight.sources.nifti import read_nifti
 
 
@@ -39,13 +39,15 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("roisight").getOrCreate()
     voxels, images = read_nifti(spark, [(0, a.image, a.mask)])
-    flat = images.first()["nz"] == 1
+    flat = images.select("nz").first()["nz"] == 1
     labels = None if not a.labels else a.labels if len(a.labels) > 1 else a.labels[0]
     slices = [tuple(map(int, s.split(":"))) for s in a.slices]
     out = extract_features(voxels, images, features=a.features, labels=labels, n_bins=a.n_bins, bin_width=a.bin_width, weighting_norm=a.weighting_norm, ndim=2 if flat else 3,
                            keep_largest_only=a.keep_largest_only, slices_2d=slices, get_raw_matrices=a.get_raw_matrices, verbose=a.verbose)
     for name, table in out.items() if isinstance(out, dict) else [("", out)]:
-        write_features(table, f"{a.output}/{name}" if name else a.output, a.format)
+        write_features(table, f"{a.output}/{name}" if name else a.output, a.format, single=not name and a.format != "parquet")
+    if a.verbose and not isinstance(out, dict):
+        print(diagnostics_report(out))
 
 
 if __name__ == "__main__":

@@ -11,7 +11,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roisight.functions import KEY, half_directions
@@ -110,3 +110,11 @@ def largest_component(labelled: DataFrame) -> DataFrame:
     sizes = labelled.groupBy(*KEY, "zone").agg(F.count("*").alias("size"), F.min(F.struct("z", "y", "x")).alias("first"))
     best = sizes.groupBy(*KEY).agg(F.min_by("zone", F.struct((-F.col("size")).alias("s"), "first")).alias("zone"))
     return labelled.join(best, [*KEY, "zone"], "left_semi")
+
+
+def island_sizes(labelled: DataFrame) -> DataFrame:
+    """Regions of more than one component, with the sizes of the ten largest."""
+    sizes = labelled.groupBy(*KEY, "zone").agg(F.count("*").alias("size"))
+    rank = Window.partitionBy(*KEY).orderBy(F.desc("size"), "zone")
+    ranked = sizes.withColumn("rank", F.row_number().over(rank)).withColumn("islands", F.count("*").over(Window.partitionBy(*KEY)))
+    return ranked.where("islands > 1 AND rank <= 10").groupBy(*KEY, "islands").agg(F.reverse(F.sort_array(F.collect_list("size"))).alias("sizes"))

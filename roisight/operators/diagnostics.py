@@ -26,6 +26,6 @@ def diagnostics(rois: DataFrame, images: DataFrame, spacing: DataFrame, options:
         F.lit(float(options.bin_width or DEFAULT_BIN_WIDTH)).alias("diagnosis_Bin_width"), F.lit(int(options.n_bins or 32)).alias("diagnosis_Number_of_bins"),
         text(options.weighting_norm or "no_weighting").alias("diagnosis_Weighting_norm"), F.lit(options.keep_largest_only).alias("diagnosis_Keep_largest_only"),
         F.array("sx", "sy", "sz").alias("diagnosis_Voxel_spacing"), size.alias("diagnosis_Image_size"), cropped.alias("diagnosis_Image_size_cropped"),
-        size.alias("diagnosis_Mask_size"), cropped.alias("diagnosis_Mask_size_cropped"), F.lit(n).alias("diagnosis_Dimensionality_of_image"),
+        size.alias("diagnosis_Mask_size"), cropped.alias("diagnosis_Mask_size_cropped"), F.lit(f"{n}D").alias("diagnosis_Dimensionality_of_image"),
         F.lit(rois.sparkSession.sparkContext.defaultParallelism).alias("diagnosis_Number_of_threads"),
     )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from roisight.functions import KEY
@@ -84,15 +85,42 @@ def outer_vertices(pieces: DataFrame, ndim: int) -> DataFrame:
     points = pieces.select(*KEY, F.explode(F.array(*(F.col(n) for n in "pqr"[:ndim]))).alias("c"))
     kept = points.select(*KEY, *(F.col("c")[k].alias(n) for k, n in enumerate("xyz"))).distinct()
     for axis in "xyz"[:ndim]:
-        line = [*KEY, *(c for c in "xyz" if c != axis)]
-        ends = kept.groupBy(*line).agg(F.min(axis).alias("lo"), F.max(axis).alias("hi"))
-        kept = kept.join(ends, line).where((F.col(axis) == F.col("lo")) | (F.col(axis) == F.col("hi"))).select(*KEY, *"xyz")
+        line = Window.partitionBy(*KEY, *(c for c in "xyz" if c != axis))
+        kept = kept.withColumn("lo", F.min(axis).over(line)).withColumn("hi", F.max(axis).over(line)).where((F.col(axis) == F.col("lo")) | (F.col(axis) == F.col("hi"))).select(*KEY, *"xyz")
     return kept
 
 
+#: Vertices of a region that meet as many others in one task.
+BLOCK_VERTICES = 4_000
+
+
+def far_vertices(points: DataFrame) -> DataFrame:
+    """The vertices that may end a farthest pair, in as many blocks as their number asks for.
+
+    The extent along some directions is at most the diameter.  A vertex whose
+    distance from the middle of the box, plus the largest such distance, is less than
+    the longest extent found has no partner that far away.  The windows share one
+    exchange.
+    """
+    region = Window.partitionBy(*KEY)
+    middle = [((F.min(c).over(region) + F.max(c).over(region)) / 2).alias(f"m{c}") for c in "xyz"]
+    boxed = points.select("*", *middle, F.greatest(*_extents(region)).alias("low"))
+    away = boxed.withColumn("away", F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz"), F.lit(0.0))))
+    kept = away.withColumn("top", F.max("away").over(region)).where(F.col("away") + F.col("top") >= F.col("low") * (1 - 1e-9))
+    return kept.withColumn("blocks", F.ceil(F.count("*").over(region) / BLOCK_VERTICES).cast("int")).select(*KEY, *"xyz", "blocks")
+
+
+def _extents(region: WindowSpec) -> list[Column]:
+    steps = [d for d in itertools.product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
+    along = [sum((F.col(c) * (n / math.sqrt(sum(v * v for v in d))) for c, n in zip("xyz", d, strict=True)), F.lit(0.0)) for d in steps]
+    return [F.max(a).over(region) - F.min(a).over(region) for a in along]
+
+
 def diameters(pieces: DataFrame, spacing: DataFrame, ndim: int, name: str) -> DataFrame:
-    """The largest distance between mesh vertices, exactly; pairs are compared in blocks of arrays."""
+    """The largest distance between mesh vertices, exactly; a region of many vertices is compared in pairs of blocks."""
     points = outer_vertices(pieces, ndim).join(spacing, ["image_id", "plane"]).select(*KEY, *((F.col(c) * F.col(f"s{c}") / 2).alias(c) for c in "xyz"))
+    own = far_vertices(points).withColumn("own", F.pmod(F.xxhash64(*"xyz"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*KEY, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *"xyz")
 
     def farthest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         p = np.stack([table.column(c).to_numpy() for c in "xyz"[:ndim]], 1)
@@ -101,9 +129,10 @@ def diameters(pieces: DataFrame, spacing: DataFrame, ndim: int, name: str) -> Da
             d = p[at : at + 512, None, :] - p[None, at:, :]
             best = max(best, float((d * d).sum(2).max()))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.table([*(pa.array([k.as_py()], t) for k, t in zip(key, types, strict=True)), pa.array([math.sqrt(best)])], names=[*KEY, name])
+        return pa.table([*(pa.array([k.as_py()], t) for k, t in zip(key, types, strict=False)), pa.array([math.sqrt(best)])], names=[*KEY, name])
 
-    return points.groupBy(*KEY).applyInArrow(farthest, f"image_id long, label int, plane int, slice_idx int, {name} double")
+    found = met.groupBy(*KEY, "i", "j").applyInArrow(farthest, f"image_id long, label int, plane int, slice_idx int, {name} double")
+    return found.groupBy(*KEY).agg(F.max(name).alias(name))
 
 
 def _eigen3(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> tuple[Column, Column, Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from roisight.functions import half_directions
 from roisight.functions.mesh import cube_triangles, square_segments
-from roisight.queries import BINS, SLICES, WIDTH
+from roisight.queries import BINS, FEW_BINS_WIDTH, SLICES, WIDTH
 
 K = "image_id, label, plane, slice_idx"
 _EMBEDDED = """vox AS (
@@ -268,7 +268,7 @@ def oracle_sql() -> dict[str, str]:
         "discretize_n_bins": _sql(*volumes, bins, select=level_counts),
         "discretize_bin_width": _sql(*volumes, _levels(width=WIDTH), select=level_counts),
         "discretize_default": _sql(*sparse, _levels(), select=level_counts),
-        "binning_warning": _sql(*sparse, select=f"SELECT {K}, round(max(v) - min(v) + 1e-9, 6) AS span, CAST(ceil((max(v) - min(v)) / 24.0) AS BIGINT) AS bins FROM roi GROUP BY ALL HAVING ceil((max(v) - min(v)) / 24.0) < 3"),
+        "binning_warning": _sql(*volumes, select=f"SELECT {K}, round(max(v) - min(v) + 1e-9, 6) AS span, CAST(ceil((max(v) - min(v)) / {FEW_BINS_WIDTH}) AS BIGINT) AS bins FROM roi GROUP BY ALL HAVING ceil((max(v) - min(v)) / {FEW_BINS_WIDTH}) < 3"),
         "first_order": _sql(*volumes, bins, _FIRST),
         "first_order_bin_width": _sql(*volumes, _levels(width=WIDTH), _FIRST),
         "first_order_slices": _sql(*flat, bins, _FIRST),
@@ -317,13 +317,25 @@ def oracle_sql() -> dict[str, str]:
     long = "SELECT {K}, '{f}' AS family, '{p}_' || feature AS feature, round(value + 1e-9, 6) AS value FROM (UNPIVOT {t} ON COLUMNS(* EXCLUDE (image_id, label, plane, slice_idx)) INTO NAME feature VALUE value)"
     tables = (*volumes, bins, l3, _near(), _NM, tone.replace("one AS", "o1 AS").replace("FROM one", "FROM o1"), first)
     found["features_long"] = _sql(*tables, select=long.format(K=K, f="first_order", p="firstorder", t="fo") + " UNION ALL " + long.format(K=K, f="ngtdm", p="ngtdm", t="ng"))
+    prefixed = "round(COLUMNS({t}.* EXCLUDE (image_id, label, plane, slice_idx)) + 1e-9, 6) AS \"{p}_\\0\""
     found["extract_features"] = _sql(
         *volumes, bins, l3, _near(), _DM, first, _named(_dependences(), "de"),
-        select=f'SELECT {K}, round(mean + 1e-9, 6) AS "firstorder_mean", round(entropy + 1e-9, 6) AS "firstorder_entropy", round("DependenceEntropy" + 1e-9, 6) AS "gldm_DependenceEntropy", label AS label_id FROM fo JOIN de USING ({K})',
+        select=f"SELECT {K}, {prefixed.format(t='fo', p='firstorder')}, {prefixed.format(t='de', p='gldm')}, label AS label_id FROM fo JOIN de USING ({K})",
     )
+    found["features_json"] = _sql(
+        _EMBEDDED, one, bins, l3, _near(), _NM, _NGTDM, select=f"""SELECT {K}, '{{"label_id":' || label || ',"ngtdm_Contrast":' || CAST(round(Contrast, 6) AS VARCHAR) || '}}' AS features FROM out""",
+    )
+    size = lambda f: f"concat_ws('x', {', '.join(f.format(c=c) for c in 'xyz')})"
     found["diagnostics"] = _sql(
-        *volumes, select=f"""SELECT {K}, 25.0::DOUBLE AS "diagnosis_Bin_width", {BINS} AS "diagnosis_Number_of_bins", 'no_weighting' AS "diagnosis_Weighting_norm",
-        3 AS "diagnosis_Dimensionality_of_image", concat_ws('x', max(x) - min(x) + 1, max(y) - min(y) + 1, max(z) - min(z) + 1) AS cropped FROM roi GROUP BY {K}""",
+        *volumes, select=f"""SELECT {K}, 25.0::DOUBLE AS "diagnosis_Bin_width", {BINS} AS "diagnosis_Number_of_bins", 'no_weighting' AS "diagnosis_Weighting_norm", true AS "diagnosis_Keep_largest_only",
+        '3D' AS "diagnosis_Dimensionality_of_image", '1.0x1.0x1.0' AS "diagnosis_Voxel_spacing", {size("any_value(n{c})")} AS "diagnosis_Image_size", {size("max({c}) - min({c}) + 1")} AS "diagnosis_Image_size_cropped",
+        {size("any_value(n{c})")} AS "diagnosis_Mask_size", {size("max({c}) - min({c}) + 1")} AS "diagnosis_Mask_size_cropped" FROM roi JOIN img USING (image_id) GROUP BY {K}""",
+    )
+    main = f"roi AS (SELECT c.image_id, c.label, c.plane, c.slice_idx, c.x, c.y, c.z, r0.v FROM ({biggest}) AS c JOIN r0 USING ({K}, x, y, z))"
+    islands = f"isl AS (SELECT {K}, CAST(count(DISTINCT first) AS INTEGER) AS number_of_islands FROM com GROUP BY ALL)"
+    found["shape3d_largest"] = _sql(
+        _EMBEDDED, whole.replace("roi AS", "r0 AS", 1), _components("r0", "0"), main, islands, _cells(3), _pieces(3), _named(_MESH3, "mesh"), _named(_diameter(3, "maximum_3d_diameter"), "dia"), _named(_AXES3, "axes"), _SHAPE3,
+        select=f"SELECT o.*, number_of_islands FROM (SELECT {K}, round(COLUMNS(* EXCLUDE (image_id, label, plane, slice_idx)) + 1e-9, 6) FROM out) AS o JOIN isl USING ({K})", recursive=True,
     )
     for norm in ("infinity", "euclidean", "manhattan"):
         found[f"glcm_{norm}"] = _sql(*sparse, bins, l3, _PAIRS, _weights(norm, 3, "exp(-pow({}, 2))"), _GLCM_WEIGHTED, _GLCM_FEATURES)

@@ -16,6 +16,8 @@ from roisight.sources.raster import from_vectors, with_shape
 #: Discretization that suits the vectors' range of about -0.5 to 0.5.
 BINS, WIDTH = 8, 0.05
 SLICES = ((1, 2), (2, 5), (3, 4))
+#: Cuts about half of the vectors' regions into two bins, the others into three.
+FEW_BINS_WIDTH = 0.19
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -75,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "discretize_n_bins": _query(_BINNED, lambda e: e.levels.groupBy(*KEY, "g").agg(F.count("*").alias("voxels"))),
         "discretize_bin_width": _query(_work(embedding_volumes, bin_width=WIDTH), lambda e: e.levels.groupBy(*KEY, "g").agg(F.count("*").alias("voxels"))),
         "discretize_default": _query(_work(lineitem_volumes, labels=(1,)), lambda e: e.levels.groupBy(*KEY, "g").agg(F.count("*").alias("voxels"))),
-        "binning_warning": _query(_work(lineitem_volumes, labels=(1,)), lambda e: roi.few_bins(e.rois, 24.0)),
+        "binning_warning": _query(_work(embedding_volumes), lambda e: roi.few_bins(e.rois, FEW_BINS_WIDTH)),
         "first_order": _query(_BINNED, lambda e: e.family("first_order")),
         "first_order_bin_width": _query(_work(embedding_volumes, bin_width=WIDTH), lambda e: e.family("first_order")),
         "first_order_slices": _query(_FLAT, lambda e: e.family("first_order")),
@@ -117,9 +119,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "principal_axes_3d": _query(_BINNED, lambda e: shape.principal_axes_3d(e.rois, e.spacing)),
         "shape3d": _query(_work(embedding_volumes, keep_largest_only=False), lambda e: e.family("shape3d")),
         "shape3d_largest": _query(_BINNED, lambda e: e.family("shape3d")),
-        "diagnostics": _query(_BINNED, lambda e: e.diagnostics().select(*KEY, "diagnosis_Bin_width", "diagnosis_Number_of_bins", "diagnosis_Weighting_norm", "diagnosis_Dimensionality_of_image", F.array_join("diagnosis_Image_size_cropped", "x").alias("cropped"))),
+        "diagnostics": _query(_BINNED, lambda e: e.diagnostics().select(*KEY, "diagnosis_Bin_width", "diagnosis_Number_of_bins", "diagnosis_Weighting_norm", "diagnosis_Keep_largest_only", "diagnosis_Dimensionality_of_image", *(F.array_join(c, "x").alias(c) for c in ("diagnosis_Voxel_spacing", "diagnosis_Image_size", "diagnosis_Image_size_cropped", "diagnosis_Mask_size", "diagnosis_Mask_size_cropped")))),
         "features_long": _query(_work(embedding_volumes, n_bins=BINS, features=("first_order", "ngtdm")), lambda e: e.long()),
-        "extract_features": lambda s, d: rounded(extract_features(*embedding_volumes(s, d), features=["first_order", "gldm"], labels=[1, 2], n_bins=BINS).drop("diagnosis_Planning_seconds").select(*KEY, "firstorder_mean", "firstorder_entropy", "gldm_DependenceEntropy", "label_id")),
+        "extract_features": lambda s, d: rounded(extract_features(*embedding_volumes(s, d), features=["first_order", "gldm"], labels=[1, 2], n_bins=BINS).transform(lambda t: t.drop(*(c for c in t.columns if c.startswith("diagnosis_"))))),
         "features_json": lambda s, d: extract_features(*embedding_volumes(s, d), features="ngtdm", labels=1, n_bins=BINS).select(*KEY, F.to_json(F.struct("label_id", F.round("ngtdm_Contrast", 6).alias("ngtdm_Contrast"))).alias("features")),
     }
     for norm in ("infinity", "euclidean", "manhattan"):

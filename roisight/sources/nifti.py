@@ -59,39 +59,87 @@ def write_nifti(values: np.ndarray, spacing, compress: bool = False) -> bytes:
     return gzip.compress(raw) if compress else raw
 
 
-VOXELS = "image_id long, x int, y int, z int, v double, label int, nx int, ny int, nz int, sx double, sy double, sz double"
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for image_id, image_raw, mask_raw in zip(*(batch.column(k) for k in range(3)), strict=True):
-            image, spacing = parse_nifti(image_raw.as_py())
-            mask, _ = parse_nifti(mask_raw.as_py())
-            if image.shape != mask.shape:
-                raise ValueError(f"image {image_id}: image and mask have different shapes")
-            shape, size = [*image.shape, 1][:3], [*spacing, 1.0][:3]
-            at = np.argwhere(mask != 0)
-            for lo in range(0, max(len(at), 1), 1_000_000):
-                some = at[lo : lo + 1_000_000]
-                index = tuple(some.T)
-                n = len(some)
-                coordinates = [some[:, k] + 1 if k < image.ndim else np.ones(n) for k in range(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, image_id.as_py()), pa.int64()), *(pa.array(c.astype(np.int32)) for c in coordinates), pa.array(image[index].astype(float)),
-                     pa.array(np.round(mask[index]).astype(np.int32)), *(pa.array(np.full(n, s, np.int32)) for s in shape), *(pa.array(np.full(n, float(s))) for s in size)],
-                    names=[f.split()[0] for f in VOXELS.split(", ")],
-                )
-
-
-def read_nifti(spark: SparkSession, pairs: list[tuple[int, str, str]] | DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(voxels, images) from (image_id, image path, mask path) rows; files may be gzipped and lie in any store Spark reads."""
-    listed = pairs if isinstance(pairs, DataFrame) else spark.createDataFrame(pairs, "image_id long, image string, mask string")
-    paths = [p for r in listed.select("image", "mask").collect() for p in r]
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    tail = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
-    files = files.withColumn("path", tail(F.col("path")))
-    both = listed.join(files.withColumnRenamed("content", "a"), tail(F.col("image")) == F.col("path")).drop("path")
-    both = both.join(files.withColumnRenamed("content", "b"), tail(F.col("mask")) == F.col("path")).select("image_id", "a", "b")
-    rows = both.mapInArrow(_rows, VOXELS)
-    images = rows.groupBy("image_id").agg(*(F.first(c).alias(c) for c in ("nx", "ny", "nz", "sx", "sy", "sz")))
-    return rows.select("image_id", "x", "y", "z", "v", "label"), images
+VOXELS = "image_id long, x int, y int, z int, v double, label int"
+IMAGES = "image_id long, nx int, ny int, nz int, sx double, sy double, sz double, error string"
+
+
+def _checked(image_raw: bytes, mask_raw: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
+    image, spacing = parse_nifti(image_raw)
+    mask, _ = parse_nifti(mask_raw)
+    if image.shape != mask.shape:
+        raise ValueError("image and mask have different shapes")
+    return image, mask, spacing
+
+
+def _voxels(report: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image_id, image_raw, mask_raw in zip(*(batch.column(k) for k in range(3)), strict=True):
+                try:
+                    image, mask, _ = _checked(image_raw.as_py(), mask_raw.as_py())
+                except ValueError as e:
+                    if report:
+                        continue
+                    raise ValueError(f"image {image_id}: {e}") from e
+                at = np.argwhere(mask != 0)
+                for lo in range(0, len(at), 1_000_000):
+                    some = at[lo : lo + 1_000_000]
+                    index, n = tuple(some.T), len(some)
+                    coordinates = [some[:, k] + 1 if k < image.ndim else np.ones(n) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, image_id.as_py()), pa.int64()), *(pa.array(c.astype(np.int32)) for c in coordinates), pa.array(image[index].astype(float)), pa.array(np.round(mask[index]).astype(np.int32))],
+                        names=[f.split()[0] for f in VOXELS.split(", ")],
+                    )
+
+    return run
+
+
+def _images(report: bool):
+    """A row for each image, whether its mask marks any voxel or not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for image_id, image_raw, mask_raw in zip(*(batch.column(k) for k in range(3)), strict=True):
+                try:
+                    image, _, spacing = _checked(image_raw.as_py(), mask_raw.as_py())
+                    rows.append([image_id.as_py(), *[*image.shape, 1][:3], *[*spacing, 1.0][:3], None])
+                except ValueError as e:
+                    if not report:
+                        raise ValueError(f"image {image_id}: {e}") from e
+                    rows.append([image_id.as_py(), *[None] * 6, str(e)])
+            types = (pa.int64(), *[pa.int32()] * 3, *[pa.float64()] * 3, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[f.split()[0] for f in IMAGES.split(", ")])
+
+    return run
+
+
+def _qualified(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Each path as Spark lists it: relative ones start at the working folder of the default file system."""
+    conf, out = spark.sparkContext._jsc.hadoopConfiguration(), {}
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        out[p] = where.getFileSystem(conf).makeQualified(where).toString()
+    return out
+
+
+def read_nifti(spark: SparkSession, pairs: list[tuple[int, str, str]] | DataFrame, *, on_error: str = "raise") -> tuple[DataFrame, DataFrame]:
+    """(voxels, images) from (image_id, image path, mask path) rows; files may be gzipped and lie in any store Spark reads.
+
+    Every pair gives a row of ``images``, also one whose mask is all zero; a path
+    without a file raises.  With ``on_error="report"`` a file that cannot be read as
+    an image gives a row with the reason in ``error`` instead of an exception.
+    """
+    if on_error not in ("raise", "report"):
+        raise ValueError("on_error is raise or report")
+    listed = [(r["image_id"], r["image"], r["mask"]) for r in pairs.select("image_id", "image", "mask").collect()] if isinstance(pairs, DataFrame) else list(pairs)
+    known = _qualified(spark, sorted({p for _, *two in listed for p in two}))
+    names = spark.createDataFrame([(i, known[a], known[b]) for i, a, b in listed], "image_id long, image string, mask string")
+    files = spark.read.format("binaryFile").load(sorted({*known.values()})).select(F.col("path").alias("file"), "content") if listed else spark.createDataFrame([], "file string, content binary")
+    one = names.join(files.withColumnRenamed("content", "a"), F.col("image") == F.col("file"), "left").drop("file")
+    both = one.join(files.withColumnRenamed("content", "b"), F.col("mask") == F.col("file"), "left").drop("file")
+    lost = F.raise_error(F.concat(F.lit("no file was read for image "), F.col("image_id").cast("string"))).cast("binary")
+    held = both.select("image_id", F.coalesce("a", lost).alias("a"), F.coalesce("b", lost).alias("b"))
+    report = on_error == "report"
+    images = held.mapInArrow(_images(report), IMAGES)
+    return held.mapInArrow(_voxels(report), VOXELS), images if report else images.drop("error")

@@ -1,6 +1,7 @@
 """Options, sources, sinks, edge cases and array cross-checks."""
 
 import math
+import os
 import warnings
 
 import numpy as np
@@ -11,9 +12,9 @@ from roisight.api import Extraction, extract_features
 from roisight.cli import main
 from roisight.functions import KEY
 from roisight.functions.mesh import cube_triangles, square_segments
-from roisight.operators import connectivity, roi
+from roisight.operators import connectivity, ngtdm, roi, shape
 from roisight.plans.options import Options
-from roisight.sinks import as_json, report, write_features
+from roisight.sinks import as_json, errors_json, report, write_features
 from roisight.sources.nifti import parse_nifti, read_nifti, write_nifti
 from roisight.sources.raster import from_numpy
 from roisight.streaming import extract_stream
@@ -72,7 +73,7 @@ def test_missing_labels(spark):
         warnings.simplefilter("always")
         rows = extract_features(voxels, images, labels=[1, 5], features="ngtdm").collect()
     assert [r["label"] for r in rows] == [1] and any("left out" in str(w.message) for w in told)
-    assert rows[0]["diagnosis_Dimensionality_of_image"] == 3
+    assert rows[0]["diagnosis_Dimensionality_of_image"] == "3D"
 
 
 def test_constant_and_single_voxel(spark):
@@ -182,3 +183,64 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(voxels.schema).parquet(str(tmp_path / "in"))
     extract_stream(stream, images, lambda df, n: got.extend(df.collect()), str(tmp_path / "state"), features="ngtdm", n_bins=4).awaitTermination()
     assert len(got) == 1 and got[0]["ngtdm_Coarseness"] > 0
+
+
+def nifti_pair(folder, name, image, mask):
+    (folder / f"{name}.nii").write_bytes(write_nifti(image, [1, 1, 1]))
+    (folder / f"{name}_mask.nii.gz").write_bytes(write_nifti(mask, [1, 1, 1], compress=True))
+    return f"{name}.nii", f"{name}_mask.nii.gz"
+
+
+def test_nifti_names_and_odd_files(spark, tmp_path):
+    """Relative and absolute names, one mask for two images, an empty mask, lost and broken files."""
+    rng = np.random.default_rng(1)
+    image, mask = rng.normal(size=(4, 5, 6)), np.zeros((4, 5, 6), int)
+    mask[1:3, 1:3, 1:3] = 1
+    a, m = (str(tmp_path / n) for n in nifti_pair(tmp_path, "a", image, mask))
+    b, zero = (str(tmp_path / n) for n in nifti_pair(tmp_path, "b", image, mask * 0))
+    here = spark._jvm.java.lang.System.getProperty("user.dir")
+    relative = os.path.relpath(a, here)
+    voxels, images = read_nifti(spark, [(0, relative, m), (1, f"file://{a}", m), (2, b, zero)])
+    assert {r["image_id"]: r["count"] for r in voxels.groupBy("image_id").count().collect()} == {0: 8, 1: 8}
+    assert sorted((r["image_id"], r["nx"], r["ny"], r["nz"]) for r in images.collect()) == [(k, 4, 5, 6) for k in range(3)]
+    with pytest.raises(ValueError, match="image 2"):
+        extract_features(voxels, images, labels=1, features="ngtdm")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        read_nifti(spark, [(0, str(tmp_path / "none.nii"), m)])[0].count()
+    (tmp_path / "bad.nii").write_bytes(b"no image")
+    pairs = spark.createDataFrame([(0, a, m), (1, str(tmp_path / "bad.nii"), m)], "image_id long, image string, mask string")
+    with pytest.raises(Exception, match="image 1: not a NIfTI-1 file"):
+        read_nifti(spark, pairs)[1].collect()
+    voxels, images = read_nifti(spark, pairs, on_error="report")
+    assert voxels.select("image_id").distinct().count() == 1
+    assert [(r["image_id"], r["json"]) for r in errors_json(images).collect()] == [(1, '{"error":"not a NIfTI-1 file: too short"}')]
+
+
+def test_cli_writes_one_file(spark, tmp_path, capsys):
+    rng = np.random.default_rng(2)
+    mask = np.zeros((5, 5, 5), int)
+    mask[0, 0, 0], mask[2:5, 2:5, 2:5] = 1, 1
+    image, marks = nifti_pair(tmp_path, "c", rng.normal(size=(5, 5, 5)), mask)
+    out = tmp_path / "features.csv"
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        main([str(tmp_path / image), str(tmp_path / marks), "-o", str(out), "--features", "shape3d", "--n_bins", "4"], spark)
+    assert out.is_file() and len(out.read_text().splitlines()) == 2
+    assert any("2 islands, the largest of [27, 1]" in str(w.message) for w in told)
+    assert "Dimensionality of image" in capsys.readouterr().out
+
+
+def test_many_levels_and_vertices_in_parts(spark, monkeypatch):
+    """Splitting a region's levels or vertices changes nothing."""
+    rng = np.random.default_rng(3)
+    image, mask = rng.normal(size=(9, 9, 9)), (rng.random((9, 9, 9)) < 0.6).astype(int)
+    work = lambda: Extraction(*from_numpy(spark, image, mask, [1, 2, 3]), Options(labels=(1,), n_bins=30, keep_largest_only=False))
+    whole = [work().family(f).first() for f in ("ngtdm", "shape3d")]
+    monkeypatch.setattr(ngtdm, "PART_LEVELS", 4)
+    monkeypatch.setattr(shape, "BLOCK_VERTICES", 7)
+    for before, family in zip(whole, ("ngtdm", "shape3d"), strict=True):
+        now = work().family(family).first()
+        assert np.allclose([float(x) for x in before], [float(x) for x in now], rtol=1e-9)
+    points = np.argwhere(mask) * [1, 2, 3]
+    far = max(float(np.sqrt(((points - p) ** 2).sum(1)).max()) for p in points)
+    assert far <= whole[1]["maximum_3d_diameter"] <= far + 2 * 3.75
