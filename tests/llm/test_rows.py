@@ -125,6 +125,28 @@ def test_secret_checksums():
     assert not secrets.find_spans(b"eyJub3RqcG9u.eyJhIjoxfQ.c2ln", machine)
 
 
+def test_secret_kinds_and_long_texts():
+    machine = secrets.keyword_automaton()
+    kinds = lambda text: [s[0] for s in secrets.find_spans(text.encode(), machine)]
+    assert kinds("a xoxb-12345678-abcdefghijklmnop z") == ["chat"]
+    assert kinds("é sk_live_abcdefghijklmnop") == ["payment"]
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\nQUJD\n-----END RSA PRIVATE KEY-----") == ["private_key"]
+    begun = time.time()
+    for text in ("eyJ" * 200_000, "eyJ.a." * 100_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "password=" * 100_000):
+        kinds(text)
+    assert time.time() - begun < 30
+
+
+def test_decontamination_of_a_long_text(spark):
+    """Many hits in one text: offsets are found in one pass."""
+    item = " ".join(f"q{k}" for k in range(13))
+    text = " ".join(f"é{k} {item}" for k in range(20_000))
+    begun = time.time()
+    row = decontaminate(documents(spark, [text]), spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert row["n_hit"] == 260_000 and len(row["spans"]) == 20_000 and all(text[s["start"] : s["end"]] == item for s in row["spans"])
+    assert time.time() - begun < 60
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
