@@ -1,9 +1,11 @@
 """A corpus pipeline of five stages: toxicity, near-duplicates, decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor
-kept; all but the last return the columns of ``documents``.  Null texts and ids
-pass every filter: a text that is null is neither toxic, nor a copy, nor
-contaminated.
+kept; all but the last return the columns of ``documents``, whatever others there
+are.  Defined cases: null texts and ids pass every filter, as a text that is null is
+neither toxic, nor a copy, nor contaminated; an empty table gives an empty one;
+rows that repeat an id are judged each by its own text, and of rows equal in id and
+text one stays; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from roisight.llm.ngram_join import jaccard_components
 from roisight.llm.packing import pack
 
 
-#: Near-copies share at least four fifths of their shingles of so many words.
+#: Near-copies share four fifths of their shingles of five words: a stage, unlike the query op3, has no contract of its own.
 SHINGLE_WORDS = 5
 
 
@@ -68,10 +70,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     patterns = checkpointed(pii.pattern_table(stored))
     row = F.struct(*docs.columns)
     found = pii.with_spans(pii.extract(docs.withColumn("row", row), keep=["row"]), patterns, stored=stored)
-    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(pii.masked(F.col("row.text"), F.col("spans")))
-    masked = found.select(*(text.alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns), F.size("spans").alias("_spans"))
-    chars = F.when(F.col("_spans") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
-    return masked.withColumn("n_chars", chars).select(*docs.columns)
+    changed = found.select("row", F.when(F.size("spans") > 0, pii.masked(F.col("row.text"), F.col("spans"))).alias("masked"))
+    fresh = {"text": F.coalesce("masked", "row.text"), "n_chars": F.coalesce(F.char_length("masked").cast("long"), "row.n_chars") if "n_chars" in docs.columns else None}
+    return changed.select(*(fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,12 +96,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written to the shared folder and read again."""
+    """All stages in turn, each written to the shared folder and read again; a stage's input goes when it is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-        if k:
-            removed(spark, f"{folder}/{k - 1}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                removed(spark, f"{folder}/{k - 1}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    except Exception:
+        removed(spark, folder)
+        raise
