@@ -6,13 +6,18 @@ is a pattern; an item with fewer words, but not none, is one pattern.  The
 automaton runs over word numbers, so a document is read once; each hit maps
 back to byte or character offsets of the original text.
 
-Memory: the automaton holds at most ``SHARD_WORDS`` item words.  A larger
-benchmark is cut into several automata, which are applied one after the other
-and whose hits are united for each document, so any size gives whole results.
+Memory: the automaton holds at most ``SHARD_WORDS`` item words (or one longer
+item).  A larger benchmark is cut into several automata, which are applied one
+after the other to ``GATHERED_BYTES`` of documents at a time, and whose hits are
+united for each document, so any size gives whole results.  The driver holds one
+shard at a time; a Python worker keeps the item texts it was sent.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words or with a null id is left out; repeated documents give a row each;
-repeated items count once; an empty benchmark marks nothing.
+repeated items count once; an empty benchmark marks nothing; an empty table of
+documents gives no rows; a text of any length is scanned whole, in time that
+grows with its length and hits; windows that overlap or tie unite in one span;
+other columns are not read, whatever their names, but for ``carry``.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from pyspark.sql import types as T
 WIDTH = 13
 #: Item words held by one automaton.
 SHARD_WORDS = 2_000_000
+#: Bytes of documents that pass through each of several automata before the next is built.
+GATHERED_BYTES = 32 << 20
 
 _WORD_BYTES = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
 _NORMAL = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if 0x41 <= b <= 0x5A or b in _WORD_BYTES else 0x20 for b in range(256))
@@ -117,16 +124,30 @@ _OUT = pa.schema([
 ])
 
 
-def shards(items: Iterator, limit: int = SHARD_WORDS) -> list[list[tuple[object, str]]]:
-    out, size = [[]], 0
+def shards(items: Iterator, limit: int = SHARD_WORDS) -> Iterator[list[tuple[object, str]]]:
+    """Lists of items of about so many words, at least one list."""
+    held, size = [], 0
     for item, text in items:
         n = len(normal_words(text))
-        if size + n > limit and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((item, text))
+        if size + n > limit and held:
+            yield held
+            held, size = [], 0
+        held.append((item, text))
         size += n
-    return out
+    yield held
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches of about so many bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id",
@@ -137,28 +158,29 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id"
     """
     spark = documents.sparkSession
     items = benchmark.select(item_col, item_text_col).where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
-    # rows stream to the driver; an automaton is shipped for each bounded shard
-    groups = shards(((r[0], r[1]) for r in items.toLocalIterator()), shard_words)
-    cast = [spark.sparkContext.broadcast(g) for g in groups]
+    # rows stream to the driver, and each shard leaves it as a broadcast before the next is read
+    cast = [spark.sparkContext.broadcast(g) for g in shards(((r[0], r[1]) for r in items.toLocalIterator()), shard_words)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = None if len(cast) > 1 else [WindowAutomaton(cast[0].value, width)]
-        for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).field(text_col) if carry else batch.column(1)
-            found: dict[int, tuple[list, set]] = {}
-            counts = [0] * len(docs)
+        only = WindowAutomaton(cast[0].value, width) if len(cast) == 1 else None
+        for held in gathered(batches, 0 if only else GATHERED_BYTES):
+            columns = [batch.column(1).field(text_col) if carry else batch.column(1) for batch in held]
+            counts = [[0] * len(batch) for batch in held]
+            found: dict[tuple[int, int], tuple[list, set]] = {}
             for part in cast:  # more than one automaton never stands in memory at once
-                machine = machines[0] if machines else WindowAutomaton(part.value, width)
-                for k in range(len(docs)):
-                    words = normal_words(texts[k].as_py())
-                    counts[k] = len(words)
-                    hit, names = machine.hits(words)
-                    if hit:
-                        old = found.get(k, ([], set()))
-                        found[k] = (merged(old[0] + hit), old[1] | names)
-            rows = [_row(d, texts[k].as_py() if k in found else "", counts[k], *found.get(k, ([], set()))) for k, d in enumerate(docs)]
-            out = pa.RecordBatch.from_pylist(rows, schema=_OUT)
-            yield pa.RecordBatch.from_arrays([*out.columns, *batch.columns[1:][: int(carry)]], names=[*out.schema.names, *batch.schema.names[1:][: int(carry)]])
+                machine = only or WindowAutomaton(part.value, width)
+                for at, texts in enumerate(columns):
+                    for k in range(len(texts)):
+                        words = normal_words(texts[k].as_py())
+                        counts[at][k] = len(words)
+                        hit, names = machine.hits(words)
+                        if hit:
+                            old = found.get((at, k), ([], set()))
+                            found[at, k] = (merged(old[0] + hit), old[1] | names)
+            for at, batch in enumerate(held):
+                rows = [_row(d, columns[at][k].as_py() if (at, k) in found else "", counts[at][k], *found.get((at, k), ([], set()))) for k, d in enumerate(batch.column(0).to_pylist())]
+                out = pa.RecordBatch.from_pylist(rows, schema=_OUT)
+                yield pa.RecordBatch.from_arrays([*out.columns, *batch.columns[1:][: int(carry)]], names=[*out.schema.names, *batch.schema.names[1:][: int(carry)]])
 
     read = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row") if carry else F.col(text_col).cast("string").alias("text"))
     schema = T._parse_datatype_string(SCHEMA)

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roisight.llm import pii, quality, secrets, toxicity
+from roisight.llm import decontamination, pii, quality, secrets, toxicity
 from roisight.llm._digest import span_digests
 from roisight.llm._text import text_chunks
 from roisight.llm.chat_format import format_conversations, learned_text, turns_text
@@ -137,6 +137,33 @@ def test_secret_kinds_and_long_texts():
     assert time.time() - begun < 30
 
 
+@pytest.mark.parametrize("bytes_held", [0, 2_000, 1 << 30])
+def test_decontamination_by_several_automata_and_batches(spark, monkeypatch, bytes_held):
+    """The same rows, whatever passes through an automaton before the next is built."""
+    rng = random.Random(5)
+    line = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    bench = spark.createDataFrame([(k, line(rng.randint(1, 16))) for k in range(30)], "item_id long, text string")
+    docs = documents(spark, [line(rng.randint(0, 90)) for _ in range(100)]).coalesce(1)
+    monkeypatch.setattr(decontamination, "GATHERED_BYTES", bytes_held)
+    want = decontaminate(docs, bench).orderBy("doc_id").collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        assert decontaminate(docs, bench, shard_words=40).orderBy("doc_id").collect() == want
+        kept = decontaminate(docs, bench, shard_words=40, carry=True).orderBy("doc_id")
+        assert [(r["doc_id"], r["row"]["doc_id"], r["n_hit"]) for r in kept.collect()] == [(r["doc_id"], r["doc_id"], r["n_hit"]) for r in want]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(want) == 100 and any(r["n_items"] > 1 for r in want)
+
+
+def test_shards_hold_every_item_once():
+    items = [(k, "w " * n) for k, n in enumerate([3, 4, 50, 0, 2])]
+    parts = list(decontamination.shards(iter(items), 7))
+    assert [x for part in parts for x in part] == items and [len(p) for p in parts] == [2, 1, 2]
+    assert list(decontamination.shards(iter([]), 7)) == [[]]
+
+
 def test_decontamination_of_a_long_text(spark):
     """Many hits in one text: offsets are found in one pass."""
     item = " ".join(f"q{k}" for k in range(13))
