@@ -38,8 +38,10 @@ from roisight.llm._text import NON_SPACE, mix64, ranges, text_chunks, window_has
 
 WIDTH = 13
 #: Windows that a task sorts at once, and most windows in a range of hashes.
-PIECE_WINDOWS = 2_000_000
+PIECE_WINDOWS = 1_000_000
 RANGE_WINDOWS = 4_000_000
+#: Bytes of entries sent at once.
+SENT_BYTES = 4 << 20
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -90,11 +92,14 @@ def entries_by_range(part_count: int, width: int):
 
     def emit(kept: list[tuple], piece: int) -> Iterator[dict]:
         hashes, checks, counts, ids, tags = (np.concatenate(x) for x in zip(*kept, strict=True))
+        kept.clear()
         firsts = np.cumsum(counts) - counts
-        order = sorted_order(hashes, checks)
+        order = sorted_order(hashes, checks).astype(np.uint32)
         hashes, checks = hashes[order], checks[order]
-        owner = np.repeat(np.arange(len(ids)), counts)[order]
-        gone = ids[owner] > smallest(hashes, checks, ids[owner])
+        owner = np.repeat(np.arange(len(ids), dtype=np.uint32), counts)[order]
+        from_ids = ids[owner]
+        gone = from_ids > smallest(hashes, checks, from_ids)
+        del from_ids
         if gone.any():
             at = np.sort(order[gone])
             who = np.searchsorted(firsts + counts, at, "right")
@@ -102,10 +107,10 @@ def entries_by_range(part_count: int, width: int):
             yield {"part": piece % part_count, "local": True, "hashes": deltas((at - firsts[who]).astype(np.uint32)), "numbers": planes(number.astype(np.uint32)),
                    "ids": deltas(ids[held]), "tags": planes(tags[held]), "firsts": b"", "checks": b""}
         hashes, checks, order, owner = hashes[~gone], checks[~gone], order[~gone], owner[~gone]
-        part = ((hashes >> np.uint64(32)) * np.uint64(part_count)) >> np.uint64(32)
+        part = (((hashes >> np.uint64(32)) * np.uint64(part_count)) >> np.uint64(32)).astype(np.int32)
         for p, lo, hi in _slices(part):
             held = np.unique(owner[lo:hi])
-            yield {"part": int(p), "local": False, "hashes": deltas(hashes[lo:hi]), "numbers": planes(order[lo:hi].astype(np.uint32)),
+            yield {"part": int(p), "local": False, "hashes": deltas(hashes[lo:hi]), "numbers": planes(order[lo:hi]),
                    "ids": deltas(ids[held]), "tags": planes(tags[held]), "firsts": deltas(firsts[held].astype(np.uint32)), "checks": planes(checks[lo:hi])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +131,27 @@ def entries_by_range(part_count: int, width: int):
                     kept.append((all_hashes[own], all_checks[own], counts[some], ids[lo:hi][some].astype(np.int64), tags[lo:hi][some].astype(np.int32)))
                     size += len(own)
                 if size >= PIECE_WINDOWS:
-                    yield pa.RecordBatch.from_pylist(list(emit(kept, piece)), schema=_ENTRIES)
+                    yield from _sent(emit(kept, piece))
                     kept, size, piece = [], 0, piece + 1
         if kept:
-            yield pa.RecordBatch.from_pylist(list(emit(kept, piece)), schema=_ENTRIES)
+            yield from _sent(emit(kept, piece))
 
     return run
 
 
+def _sent(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Entries in batches of about ``SENT_BYTES``, so that neither side holds a whole piece of them."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row.values() if isinstance(v, bytes))
+        if size >= SENT_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema=_ENTRIES)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_ENTRIES)
+
+
 def _slices(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     if len(sorted_values):
         first = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
@@ -150,7 +168,7 @@ def repeated_starts(table: pa.Table) -> pa.Table:
     """Window starts to remove, by document, from all blocks of one range of hashes."""
     out_ids, out_tags, out_starts = [], [], []
     hashes, checks, ids, tags, at = [], [], [], [], []
-    for row in table.to_pylist():
+    for row in (table.slice(k, 1).to_pylist()[0] for k in range(len(table))):
         own, mark = from_deltas(row["ids"], np.int64), from_planes(row["tags"], np.int32)
         if row["local"]:
             number = from_planes(row["numbers"], np.uint32)
@@ -165,8 +183,12 @@ def repeated_starts(table: pa.Table) -> pa.Table:
         ids.append(own[who]), tags.append(mark[who]), at.append(number - first[who])
     if hashes:
         h, c, i, t, a = (np.concatenate(x) for x in (hashes, checks, ids, tags, at))
-        order = sorted_order(h, c)
-        gone = order[i[order] > smallest(h[order], c[order], i[order])]
+        for parts in (hashes, checks, ids, tags, at):
+            parts.clear()
+        order = sorted_order(h, c).astype(np.uint32)
+        h, c, from_ids = h[order], c[order], i[order]
+        gone = order[from_ids > smallest(h, c, from_ids)]
+        del h, c, from_ids, order
         i, t, a = i[gone], t[gone], a[gone]
         order = np.lexsort((a, t, i))
         i, t, a = i[order], t[order], a[order].astype(np.uint32)
