@@ -6,7 +6,9 @@ encodes all other characters with bytes >= 0x80, so scanning bytes is exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +16,42 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text forms a chunk of its own.
 CHUNK_BYTES = 1 << 19
+#: Bytes of rows that go through an operator at once, so that what it hands back is no larger batch.
+SLICE_BYTES = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse mod 2**64
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes, and of a row at least."""
+    for batch in batches:
+        step = max(1, len(batch) * limit // max(batch.nbytes, limit))
+        for at in range(0, max(len(batch), 1), step):
+            yield batch.slice(at, step)
+
+
+def release_memory() -> None:
+    """Gives unused memory back to the system: a Python worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function for ``mapInArrow`` that gets its rows in slices and leaves no unused memory behind."""
+
+    @wraps(run)
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(slices(batches))
+        finally:
+            release_memory()
+
+    return outer
+
+
 def _byte_codes() -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 

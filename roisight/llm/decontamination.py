@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roisight.llm._text import lean
+
 
 #: Consecutive words in a window.
 WIDTH = 13
@@ -161,6 +163,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id"
     # rows stream to the driver, and each shard leaves it as a broadcast before the next is read
     cast = [spark.sparkContext.broadcast(g) for g in shards(((r[0], r[1]) for r in items.toLocalIterator()), shard_words)]
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = WindowAutomaton(cast[0].value, width) if len(cast) == 1 else None
         for held in gathered(batches, 0 if only else GATHERED_BYTES):

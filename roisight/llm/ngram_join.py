@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roisight.llm._store import checkpointed, maybe_broadcast
-from roisight.llm._text import LOWER, NON_SPACE, mix64, text_chunks, window_hashes, word_hashes, word_spans
+from roisight.llm._text import LOWER, NON_SPACE, lean, mix64, text_chunks, window_hashes, word_hashes, word_spans
 from roisight.llm.components import components
 
 WIDTH = 4
@@ -113,6 +113,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
 def _prints(batches_width):
     width = batches_width
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, p1, p2 = [], [], []
@@ -149,6 +150,7 @@ def _postings(width: int, t: Threshold, rare: int):
             s = slice(at, at + 200_000)
             yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (route, tokens, docs, codes, weight)], names=["route", "token", "doc", "code", "weight"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
         for batch in batches:
@@ -176,6 +178,7 @@ def _postings(width: int, t: Threshold, rare: int):
 def _signatures(t: Threshold):
     """Rows (sig, doc): rare prefix tokens, and pairs of frequent ones within a class for both size groups."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
@@ -219,6 +222,7 @@ def parity_bitmap(tokens: np.ndarray, kind: int) -> np.ndarray:
 
 
 def _bitmaps(width: int, t: Threshold):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -355,6 +359,7 @@ def _likely_edges(t: Threshold):
     if it joins two trees that the whole task holds: fewer rows than documents.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Trees()
         for table in whole_groups(batches, 3, 20_000):
@@ -382,6 +387,7 @@ def _likely_edges(t: Threshold):
 
 
 def _sets(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = []
@@ -428,6 +434,7 @@ def exact_forest(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], t: T
 def _links(t: Threshold):
     """Rows (a, b) of links from rows (key, i, j, doc, comp, tokens) sorted by the first three."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 3, 500):
             bounds = _group_bounds(table, 3)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roisight.llm._text import CHUNK_BYTES, mix64, power_tables, ranges, text_chunks
+from roisight.llm._text import CHUNK_BYTES, lean, mix64, power_tables, ranges, text_chunks
 
 WINDOW = 1024
 END_ID = 0
@@ -322,6 +322,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def pack(documents: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece; ``ids`` holds its token ids as little-endian unsigned 32-bit numbers."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         packer = SumOfSquares((context.partitionId() if context else 0) << 40, window)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roisight.llm._store import checkpointed
-from roisight.llm._text import LOWER, mix64, text_chunks, word_hashes, word_spans
+from roisight.llm._text import LOWER, lean, mix64, text_chunks, word_hashes, word_spans
 
 TRAIN_ROWS = 12_000
 LEAST_DOCUMENTS = 3
@@ -225,6 +225,7 @@ def training_labels(labels: DataFrame, label: str, keep: Column, rows: int, id_c
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+@lean
 def _count_training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (token, toxic, other): documents that hold a token, from rows (label, text)."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -253,6 +254,7 @@ def _count_training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _count_corpus(candidates: Broadcast):
     """Rows (token number, documents); after the last number, documents and then words."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = candidates.value
         counts = np.zeros(len(known) + 2, np.int64)
@@ -274,6 +276,7 @@ def _scan(tokens: Broadcast, weights: Broadcast, decay: float, text_field: str |
     The text is the second column, or a field of it, a struct that is passed on.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skip = 1 if text_field else 2
         known, value = tokens.value, np.append(weights.value, 0.0)  # the last is what -1 finds
@@ -311,7 +314,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, keep: Column, label="toxic",
     """Weights and calibration from training rows (where ``keep`` holds) and counts of all documents."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
-    known = spark.createDataFrame([(r[0], r[1]) for r in training_labels(labels, label, keep, train_rows).collect()], "doc_id long, label int")
+    # as an Arrow table these rows are local ones, a list of tuples would start Python workers
+    known = spark.createDataFrame(training_labels(labels, label, keep, train_rows).toArrow())
     own = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("print"), "label", "text")).alias("r"))
     once = own.groupBy("r.print").agg(F.min(F.struct("doc_id", "r.label", "r.text")).alias("r"))  # copies of one text are evidence once
     train = checkpointed(once.select("r.*"))
